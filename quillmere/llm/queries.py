@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import mixing, oracles, packing
+from quillmere.llm import mixing, near_dup, oracles, packing
 from quillmere.llm.common import table, tokenizer_path
 
 
@@ -16,5 +16,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_packing)}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, numerator=85, denominator=100, bands=24)
+
+
+QUERIES = {f.__name__: f for f in (op5_mixing, op6_packing, op8_minhash)}
 ORACLE_SQL = oracles.ORACLE_SQL
