@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import mixing, near_dup, oracles, packing
+from quillmere.llm import mixing, near_dup, oracles, packing, quality, toxicity
 from quillmere.llm.common import table, tokenizer_path
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -20,5 +28,5 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, numerator=85, denominator=100, bands=24)
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_packing, op8_minhash)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_toxicity, op5_mixing, op6_packing, op8_minhash)}
 ORACLE_SQL = oracles.ORACLE_SQL
