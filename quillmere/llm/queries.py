@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmere.llm import mixing, near_dup, oracles, packing, quality, toxicity
+from quillmere.llm import fingerprints, mixing, near_dup, oracles, packing, quality, toxicity, vectors
 from quillmere.llm.common import table, tokenizer_path
 
 
@@ -28,5 +29,13 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, numerator=85, denominator=100, bands=24)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_toxicity, op5_mixing, op6_packing, op8_minhash)}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op2_quality, op4_toxicity, op5_mixing, op6_packing, op8_minhash, op9_fingerprints, op10_vectors)}
 ORACLE_SQL = oracles.ORACLE_SQL
