@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import fingerprints, mixing, near_dup, oracles, packing, quality, toxicity, vectors
+from quillmere.llm import fingerprints, mixing, near_dup, oracles, packing, quality, suffix_dedup, toxicity, vectors
 from quillmere.llm.common import table, tokenizer_path
 
 
@@ -13,6 +13,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,5 +41,5 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_toxicity, op5_mixing, op6_packing, op8_minhash, op9_fingerprints, op10_vectors)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_suffix_array, op4_toxicity, op5_mixing, op6_packing, op8_minhash, op9_fingerprints, op10_vectors)}
 ORACLE_SQL = oracles.ORACLE_SQL
