@@ -31,3 +31,39 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 ORACLE_SQL = {"op5_mixing": MIXING, "op10_vectors": NEAREST}
+
+TOOL_CALLS = """
+WITH asked AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'system')),
+answers AS (SELECT conv_id, turn - 1 AS asked_turn, min_by(text, (turn, text)) AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+c AS (
+  SELECT a.*, CAST(a.conv_id AS VARCHAR) || ':' || CAST(a.turn AS VARCHAR) AS call_id, CASE WHEN a.role = 'user' THEN 'reply' ELSE 'configure' END AS name, r.n IS NOT NULL AS linked, r.content,
+         CASE WHEN a.role = 'user' AND a.turn >= 2 AND NOT EXISTS (SELECT 1 FROM asked b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2)
+              THEN 'no call ' || CAST(a.conv_id AS VARCHAR) || ':' || CAST(a.turn - 2 AS VARCHAR) ELSE '' END AS errors
+  FROM asked a LEFT JOIN answers r ON r.conv_id = a.conv_id AND r.asked_turn = a.turn)
+SELECT conv_id, turn, 0 AS level, 0 AS call_index, call_id, name, linked, CASE WHEN errors <> '' THEN 'invalid' WHEN NOT linked THEN 'unanswered' ELSE 'ok' END AS status, errors,
+       '{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || CASE WHEN role = 'user' THEN ',"turn":' || CAST(turn AS VARCHAR) ELSE '' END || '},"id":"' || call_id || '","name":"' || name || '"'
+       || CASE WHEN content IS NOT NULL THEN ',"result":' || CAST(to_json(content) AS VARCHAR) ELSE '' END || ',"turn":' || CAST(turn AS VARCHAR) || '}' AS message
+FROM c
+"""
+
+
+def _licences(threshold: float = 0.8) -> str:
+    from quillmere.llm.licences import TEMPLATES, bigrams_of
+
+    rows = ",\n  ".join(f"('{name}', [{', '.join(repr(b) for b in bigrams_of(text))}])" for name, text in TEMPLATES.items())
+    return rf"""
+WITH t(licence, own) AS (VALUES
+  {rows}),
+units AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))
+  UNION ALL SELECT doc_id, p FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS p FROM documents WHERE regexp_matches(text, '\n[ \t\r]*\n')) WHERE contains(p, chr(10))),
+w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words FROM units),
+g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) BETWEEN 2 AND 1000000),
+d AS (SELECT doc_id, licence, 2.0::DOUBLE * len(list_intersect(grams, own)) / (len(grams) + len(own)) AS dice
+      FROM g JOIN t ON len(grams) >= len(own) * {threshold} / (2 - {threshold}) AND len(grams) <= len(own) * (2 - {threshold}) / {threshold})
+SELECT doc_id, licence, round(max(dice), 6) AS dice, count(*) AS n_units FROM d WHERE dice >= {threshold} GROUP BY doc_id, licence
+"""
+
+
+ORACLE_SQL |= {"op1_tool_calls": TOOL_CALLS, "op7_licences": _licences()}

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import fingerprints, mixing, near_dup, oracles, packing, quality, suffix_dedup, toxicity, vectors
+from quillmere.llm import chat, fingerprints, licences, mixing, near_dup, oracles, packing, quality, suffix_dedup, toxicity, vectors
 from quillmere.llm.common import table, tokenizer_path
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.from_chat(table(spark, sf_dir, "conversations"))
+    linked = chat.link(calls, results, chat.CHAT_TOOLS)
+    return linked.withColumn("errors", F.array_join("errors", ";"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +35,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, numerator=85, denominator=100, bands=24)
 
@@ -41,5 +51,5 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_suffix_array, op4_toxicity, op5_mixing, op6_packing, op8_minhash, op9_fingerprints, op10_vectors)}
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_quality, op3_suffix_array, op4_toxicity, op5_mixing, op6_packing, op7_licences, op8_minhash, op9_fingerprints, op10_vectors)}
 ORACLE_SQL = oracles.ORACLE_SQL
