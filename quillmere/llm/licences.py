@@ -38,43 +38,56 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def size_of(text: str) -> int:
+    """Bigrams of a template, repeats counted."""
+    return max(0, len(normalise(text)) - 1)
+
+
 def word_bigrams(words: Column) -> Column:
-    """Distinct bigrams of an array of words, joined by a space."""
+    """Bigrams of an array of words, joined by a space."""
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+    return F.filter(pairs, lambda p: p.isNotNull())
+
+
+def _fixed(value: Column) -> Column:
+    """`value` computed once for each row: a filter on it is not moved below, where it would be computed again."""
+    return F.explode(F.array(value))
 
 
 def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] | None = None) -> DataFrame:
     """Licences found in each document.
 
     A document's units are its lines, its paragraphs of several lines (blank lines part them)
-    and, if it has several lines, the whole text. A unit is lower-cased, cut into words of
-    letters and digits, and compared with a template by Dice = 2 * shared / (a + b) over
-    distinct word bigrams. Since shared is at most the smaller count, a template of b bigrams
-    can only match a unit of b * t / (2 - t) to b * (2 - t) / t bigrams: outside those bounds a
-    template is not compared. Templates are a fixed list; the scan is one pass over the texts,
-    and only matches are grouped.
+    and, if it has several lines, the whole text. A unit is cut into lower-case words of letters
+    and digits and compared with a template by Dice = 2 * shared / (a + b): a and b are the
+    numbers of word bigrams, repeats counted, and shared the number of different bigrams that
+    both have. As shared is at most the smaller of a and b, a template of b bigrams can only
+    match a unit of b * t / (2 - t) to b * (2 - t) / t bigrams; outside those bounds it is not
+    compared, and a unit is cut into no more words than the largest bound needs. Templates are a
+    fixed list; the scan is one pass over the texts, and only matches are grouped.
 
     Returns doc_id, licence, dice (the best unit's, rounded to 6 places), n_units (units at or
     above `threshold`), one row for each document and licence found. A null, empty or unmatched
-    text gives no row. Rows with one doc_id count as one document; a null doc_id is a document
-    of its own. An empty table gives no rows. Other columns are not read.
+    text gives no row. Rows with one doc_id count as one document; rows with a null doc_id count
+    together. An empty table gives no rows. Other columns are not read.
     """
-    known = {name: bigrams_of(text) for name, text in (templates or TEMPLATES).items()}
-    low = min(len(b) for b in known.values()) * threshold / (2 - threshold)
-    high = max(len(b) for b in known.values()) * (2 - threshold) / threshold
+    known = {name: (bigrams_of(text), size_of(text)) for name, text in (templates or TEMPLATES).items()}
+    low = min(n for _, n in known.values()) * threshold / (2 - threshold)
+    high = max(n for _, n in known.values()) * (2 - threshold) / threshold
     lines = F.split(F.col("text"), "\n")
+    none = F.array().cast("array<string>")
     paragraphs = F.filter(F.split(F.col("text"), r"\n[ \t\r]*\n"), lambda p: p.contains("\n"))
-    several = F.when(F.col("text").contains("\n"), F.array_append(F.when(F.col("text").rlike(r"\n[ \t\r]*\n"), paragraphs).otherwise(F.array().cast("array<string>")), F.col("text"))).otherwise(F.array().cast("array<string>"))
+    several = F.when(F.col("text").contains("\n"), F.array_append(F.when(F.col("text").rlike(r"\n[ \t\r]*\n"), paragraphs).otherwise(none), F.col("text"))).otherwise(none)
     units = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.concat(lines, several)).alias("_unit"))
-    words = units.select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("_unit"), r"[^\p{L}\p{N}]+", " ")), " ").alias("_words"))
-    grams = words.where(F.size("_words") - 1 >= low).select("doc_id", word_bigrams(F.col("_words")).alias("_grams")).where((F.size("_grams") >= low) & (F.size("_grams") <= high))
+    pieces = units.select("doc_id", _fixed(F.split("_unit", r"[^\p{L}\p{N}]+", int(high) + 4)).alias("_pieces"))
+    words = pieces.where((F.size("_pieces") >= low) & (F.size("_pieces") <= high + 3)).select("doc_id", _fixed(F.transform(F.filter("_pieces", lambda w: w != ""), F.lower)).alias("_words"))
+    grams = words.where((F.size("_words") - 1 >= low) & (F.size("_words") - 1 <= high)).select("doc_id", _fixed(word_bigrams(F.col("_words"))).alias("_grams"))
 
-    def match(name: str, own: list[str]) -> Column:
+    def match(name: str, own: list[str], count: int) -> Column:
         n = F.size("_grams")
-        possible = (n >= len(own) * threshold / (2 - threshold)) & (n <= len(own) * (2 - threshold) / threshold)
-        dice = F.lit(2.0) * F.size(F.array_intersect("_grams", F.array(*map(F.lit, own)))) / (n + len(own))
+        possible = (n >= count * threshold / (2 - threshold)) & (n <= count * (2 - threshold) / threshold)
+        dice = F.lit(2.0) * F.size(F.array_intersect("_grams", F.array(*map(F.lit, own)))) / (n + count)
         return F.when(possible, F.struct(F.lit(name).alias("licence"), dice.alias("dice")))
 
-    found = grams.select("doc_id", F.inline(F.filter(F.array(*[match(k, v) for k, v in known.items()]), lambda m: m.isNotNull() & (m["dice"] >= threshold))))
+    found = grams.select("doc_id", F.inline(F.filter(F.array(*[match(k, *v) for k, v in known.items()]), lambda m: m.isNotNull() & (m["dice"] >= threshold))))
     return found.groupBy("doc_id", "licence").agg(F.round(F.max("dice"), 6).alias("dice"), F.count(F.lit(1)).alias("n_units"))

@@ -12,7 +12,7 @@ r AS (SELECT *, 2.0::DOUBLE * source_size AS stop, 2.0::DOUBLE * source_size / w
 lev AS (
   SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM src) - coalesce(sum(stop) OVER f, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER f, 0)) AS level
   FROM r WINDOW f AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-open AS (SELECT min(level) AS level FROM lev WHERE level <= ratio),
+open AS (SELECT min_by(level, place) AS level FROM (SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) AS place FROM lev) WHERE level <= ratio),
 goal AS (SELECT lev.source, source_size, least(stop, coalesce(open.level * weight, stop)) AS target FROM lev, open),
 placed AS (
   SELECT rows.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM rows)
@@ -48,20 +48,20 @@ FROM c
 
 
 def _licences(threshold: float = 0.8) -> str:
-    from quillmere.llm.licences import TEMPLATES, bigrams_of
+    from quillmere.llm.licences import TEMPLATES, bigrams_of, size_of
 
-    rows = ",\n  ".join(f"('{name}', [{', '.join(repr(b) for b in bigrams_of(text))}])" for name, text in TEMPLATES.items())
+    rows = ",\n  ".join(f"('{name}', [{', '.join(repr(b) for b in bigrams_of(text))}], {size_of(text)})" for name, text in TEMPLATES.items())
     return rf"""
-WITH t(licence, own) AS (VALUES
+WITH t(licence, own, b) AS (VALUES
   {rows}),
 units AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))
   UNION ALL SELECT doc_id, p FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS p FROM documents WHERE regexp_matches(text, '\n[ \t\r]*\n')) WHERE contains(p, chr(10))),
 w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words FROM units),
-g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) BETWEEN 2 AND 1000000),
-d AS (SELECT doc_id, licence, 2.0::DOUBLE * len(list_intersect(grams, own)) / (len(grams) + len(own)) AS dice
-      FROM g JOIN t ON len(grams) >= len(own) * {threshold} / (2 - {threshold}) AND len(grams) <= len(own) * (2 - {threshold}) / {threshold})
+g AS (SELECT doc_id, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS grams FROM w WHERE len(words) BETWEEN 2 AND 1000),
+d AS (SELECT doc_id, licence, 2.0::DOUBLE * len(list_intersect(list_distinct(grams), own)) / (len(grams) + b) AS dice
+      FROM g JOIN t ON len(grams) >= b * {threshold} / (2 - {threshold}) AND len(grams) <= b * (2 - {threshold}) / {threshold})
 SELECT doc_id, licence, round(max(dice), 6) AS dice, count(*) AS n_units FROM d WHERE dice >= {threshold} GROUP BY doc_id, licence
 """
 
