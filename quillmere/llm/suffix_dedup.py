@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import discard, mix64, prefix_sums, settle, slices, span_hashes, utf8
+from quillmere.llm.common import discard, mix64, prefix_sums, release, settle, slices, span_hashes, utf8
 
 #: Bytes of the seed at a block's anchor.
 SEED = 20
@@ -72,7 +73,7 @@ class Blocks:
         return first + low, last + low, own >> np.uint64(24), own & _POSITION, body
 
 
-def _pieces(offsets: np.ndarray, span: int, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _pieces(offsets: np.ndarray, span: int, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Byte ranges of whole texts, of at most `limit` bytes; a longer text in pieces that share span - 1 bytes."""
     for i, j in slices(offsets, limit):
         low, high = int(offsets[i]), int(offsets[j])
@@ -96,6 +97,24 @@ class Level:
     def __len__(self) -> int:
         return len(self.doc)
 
+    def find(self, keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key and whether it is there, by binary search on the first and then the second key."""
+        if not len(self):
+            return np.zeros(len(keys[0]), np.int64), np.zeros(len(keys[0]), bool)
+        low = np.searchsorted(self.keys[0], keys[0], "left")
+        if len(self.keys) > 1:
+            high = end = np.searchsorted(self.keys[0], keys[0], "right")
+            own = self.keys[1]
+            while (open_ := low < high).any():
+                middle = np.minimum((low + high) // 2, len(own) - 1)
+                below = open_ & (own[middle] < keys[1])
+                low = np.where(below, middle + 1, low)
+                high = np.where(open_ & ~below, middle, high)
+            at = np.minimum(low, len(own) - 1)
+            return at, (low < end) & (own[at] == keys[1])
+        at = np.minimum(low, len(self) - 1)
+        return at, self.keys[0][at] == keys[0]
+
 
 def _runs(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts by `keys` (first key first) and the places in it where a new key starts."""
@@ -137,19 +156,11 @@ class Family:
         self.levels.append(batch)
 
     def scan(self, keys: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Smallest document of each key over all levels (the largest possible number if there is none).
-
-        Keys and level are merged in sorted order, and each key takes the entry of its run.
-        """
+        """Smallest document of each key over all levels (the largest possible number if there is none)."""
         out = np.full(len(keys[0]), _LAST, np.int64)
         for level in self.levels:
-            order, starts = _runs(tuple(np.concatenate([a, b]) for a, b in zip(level.keys, keys, strict=True)))
-            value = np.full(len(order), _LAST, np.int64)
-            value[: len(level)] = level.doc
-            found = np.repeat(np.minimum.reduceat(value[order], starts), np.diff(np.append(starts, len(order)))) if len(order) else value
-            back = np.empty(len(order), np.int64)
-            back[order] = found
-            np.minimum(out, back[len(level) :], out=out)
+            at, hit = level.find(keys)
+            out[hit] = np.minimum(out[hit], level.doc[at[hit]])
         return out
 
     def whole(self) -> Level:
@@ -198,6 +209,12 @@ def _unpack_batch(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return seed, body.view("<u8").ravel(), names[number >> 1], (number & 1).astype(bool)
 
 
+def _rows(rb: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch as Python values, a few hundred at a time."""
+    for i in range(0, len(rb), 256):
+        yield from zip(*(c.to_pylist() for c in rb.slice(i, 256).columns), strict=True)
+
+
 _BODY = np.uint64((1 << 48) - 1)
 
 
@@ -208,13 +225,13 @@ def _fact_key(seed: np.ndarray, part: np.ndarray | int, body: np.ndarray) -> np.
 # --------------------------------------------------------------------------- the operator
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 24, parts_per_partition: int = 4, keep: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23, parts_per_partition: int = 4, carry: tuple[str, ...] | None = None) -> DataFrame:
     """Remove every byte that a `span`-byte string covers which also starts in a document with a smaller doc_id.
 
     A sparse suffix array samples the suffixes that start at anchors (Blocks): equal windows
     have equal anchors, so two texts share a window only where they share an anchor's seed.
 
-    1. Documents are written once with a batch number (about `batch_bytes` each).
+    1. Documents are written once, each compressed, with a batch number (about `batch_bytes` each).
     2. Each batch's anchored suffixes are sorted: by seed, then by body (the block's bytes).
        Entries equal within a batch are one, with the smallest document, so a passage however
        common gives a row for each batch at most. They are dealt by seed over parts.
@@ -231,8 +248,11 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 24,
     No pairs of occurrences are ever made. Seeds and bodies are told apart by 40 and 48 bits of
     hash besides the part's number; windows at the ends of matches by their bytes.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with `keep` the remaining
-    bytes as `kept`. A null text is empty; a null doc_id counts as larger than all others.
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256. With `carry` (names of columns of
+    `docs`, none or more) it also returns kept_text (the remaining bytes as text, without
+    characters that were cut in part; null for a null text) and those columns.
+
+    A null text is empty; a null doc_id counts as larger than all others.
     Rows with one doc_id remove nothing from each other. Texts shorter than `span` stay whole.
     An empty table gives no rows. Other columns are not read.
     """
@@ -245,22 +265,34 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 24,
         first = TaskContext.get().partitionId() << 32
         row, batch, held = first, first, 0
         for rb in batches:
-            _, offsets = utf8(rb.column(1))
-            for i, j in slices(offsets, batch_bytes):
+            data, offsets = utf8(rb.column(1))
+            body, pack = memoryview(data), zstandard.ZstdCompressor(level=1).compress
+            for i, j in slices(offsets, 1 << 20):
                 held += int(offsets[j] - offsets[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, batch), pa.int64()), pa.array(np.arange(row, row + j - i), pa.int64()), rb.column(0).slice(i, j - i), rb.column(1).slice(i, j - i)], ["batch", "row", "doc_id", "text"])
+                packed = pa.array([pack(body[a:b]) for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, batch), pa.int64()), pa.array(np.arange(row, row + j - i), pa.int64()), rb.column(0).slice(i, j - i), packed, rb.column(2).slice(i, j - i)], ["batch", "row", "doc_id", "text", "extra"])
                 row += j - i
                 if held >= batch_bytes:
                     batch, held = batch + 1, 0
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = settle(own.mapInArrow(number, "batch long, row long, doc_id long, text string"), "texts")
-    ranked = texts.select("batch", "row", "doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("rank"))
+    keep = carry is not None
+    extra = F.to_json(F.struct(F.col("text").isNull().alias("was_null"), F.struct(*(carry or ())).alias("carried"))) if carry else F.to_json(F.struct(F.col("text").isNull().alias("was_null")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (extra if keep else F.lit(None).cast("string")).alias("extra"))
+    texts = settle(own.mapInArrow(number, "batch long, row long, doc_id long, text binary, extra string"), "texts")
+    ranked = texts.select("batch", "row", "doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), "extra")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        loose: list[tuple[bytes, int]] = []
         batch, size = None, 0
 
+        def file_up() -> None:
+            nonlocal loose
+            offsets = np.cumsum([0, *(len(x[0]) for x in loose)])
+            blocks = Blocks.of(np.frombuffer(b"".join([x[0] for x in loose]), np.uint8), offsets, span)
+            held.append((blocks.seed, blocks.deal, blocks.body, np.array([x[1] for x in loose], np.int64)[np.searchsorted(offsets, blocks.first, "right") - 1]))
+            loose = []
+
         def rows() -> pa.RecordBatch:
             seed, deal, body, doc = (np.concatenate([h[k] for h in held]) for k in range(4))
             part = (deal % np.uint64(parts)).astype(np.int64)
@@ -277,19 +309,24 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 24,
             blobs = [_pack_batch(*(x[bounds[p] : bounds[p + 1]] for x in (seed, body, doc, many))) for p in found]
             return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([batch] * len(found), pa.int64()), pa.array(blobs, pa.binary())], ["part", "batch", "rows"])
 
+        unpack, waiting = zstandard.ZstdDecompressor().decompress, 0
         for rb in batches:
-            data, offsets = utf8(rb.column(1))
-            label, doc = np.asarray(rb.column(0)), np.asarray(rb.column(2), np.int64)
-            for a in np.concatenate([[0], np.flatnonzero(np.diff(label)) + 1]).tolist() if len(label) else []:
-                b = a + int(np.searchsorted(label[a:] != label[a], True)) if (label[a:] != label[a]).any() else len(label)
-                if label[a] != batch or size > 2 * batch_bytes:
+            for label, packed, rank in _rows(rb):
+                if label != batch or size > 2 * batch_bytes:
+                    if loose:
+                        file_up()
                     if held:
                         yield rows()
-                    batch, held, size = int(label[a]), [], 0
-                low = offsets[a]
-                blocks = Blocks.of(data[low : offsets[b]], offsets[a : b + 1] - low, span)
-                held.append((blocks.seed, blocks.deal, blocks.body, doc[a:b][np.searchsorted(offsets[a : b + 1] - low, blocks.first, "right") - 1]))
-                size += int(offsets[b] - low)
+                    batch, held, size, waiting = label, [], 0, 0
+                text = unpack(packed)
+                loose.append((text, rank))
+                size += len(text)
+                waiting += len(text)
+                if waiting >= 1 << 20:
+                    file_up()
+                    waiting = 0
+        if loose:
+            file_up()
         if held:
             yield rows()
 
@@ -298,6 +335,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 24,
         held: list[tuple[int, bytes]] = []
         part = None
 
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+
         def facts() -> Iterator[pa.RecordBatch]:
             family = Family()
             for _, blob in held:
@@ -319,7 +358,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 24,
                 keep_it = ask | many | (least < doc)
                 if keep_it.any():
                     labels.append(label)
-                    blobs.append(_bytes(_fact_key(seed[keep_it], part, body[keep_it]), body[keep_it], least[keep_it], ask[keep_it].astype(np.uint8)))
+                    blobs.append(squeeze(_bytes(_fact_key(seed[keep_it], part, body[keep_it]), least[keep_it], ask[keep_it].astype(np.uint8))))
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(blobs, pa.binary())], ["batch", "facts"])
 
         for rb in batches:
@@ -334,33 +373,35 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 24,
 
     blobs = ranked.select("batch", "text", "rank").mapInArrow(index, "part int, batch long, rows binary")
     facts = settle(blobs.repartition("part").sortWithinPartitions("part", "batch").mapInArrow(match, "batch long, facts binary"), "facts")
+    release(spark)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by batch, facts first; texts are then worked on in slices."""
-        names = ["part", "row", "doc_id", "n_bytes", "sha", "text", "spans", "contexts"]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+        names = ["part", "row", "doc_id", "n_bytes", "sha", "text", "spans", "contexts", "extra"]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.string())
         batch, found, table = None, [], None
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def known() -> tuple[np.ndarray, ...]:
-            rows = [_arrays(f, "<u8", "<u8", "<i8", "u1") for f in found]
-            key, body, least, ask = (np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, t) for k, t in enumerate(("<u8", "<u8", "<i8", "u1")))
+            rows = [_arrays(unpack(f), "<u8", "<i8", "u1") for f in found]
+            key, least, ask = (np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, t) for k, t in enumerate(("<u8", "<i8", "u1")))
             order = np.argsort(key)
-            return key[order], body[order], least[order], ask[order]
+            return key[order], least[order], ask[order]
 
         def texts_of(rows: list[tuple]) -> pa.RecordBatch:
-            body_of = [r[2].encode("utf-8", "surrogatepass") for r in rows]
+            body_of = [unpack(r[2]) for r in rows]
             offsets = np.cumsum([0, *map(len, body_of)])
             data = np.frombuffer(b"".join(body_of), np.uint8)
             blocks = Blocks.of(data, offsets, span)
-            key, body, least, ask = table
+            key, least, ask = table
             part = (blocks.deal % np.uint64(parts)).astype(np.int64)
-            own_body = blocks.body & _BODY
-            own_key = _fact_key(blocks.seed, part, own_body)
+            own_key = _fact_key(blocks.seed, part, blocks.body & _BODY)
             hit = np.zeros(len(own_key), bool)
             at = np.zeros(len(own_key), np.int64)
             if len(key):
                 at = np.minimum(np.searchsorted(key, own_key), len(key) - 1)
-                hit = (key[at] == own_key) & (body[at] == own_body)
+                hit = key[at] == own_key
             which = np.searchsorted(offsets, blocks.first, "right") - 1
             rank = np.array([r[3] for r in rows], np.int64)[which]
             full = hit & (least[at] < rank) if len(key) else hit
@@ -370,12 +411,12 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 24,
             out: list[tuple] = []
             full_rows, full_first, full_last = which[full], blocks.first[full], blocks.last[full]
             bounds = np.searchsorted(full_rows, np.arange(len(rows) + 1))
-            for r, (row, doc_id, _, _) in enumerate(rows):
+            for r, (row, doc_id, _, _, own_extra) in enumerate(rows):
                 if not touched[r]:
-                    out.append((None, row, doc_id, len(body_of[r]), hashlib.sha256(body_of[r]).hexdigest(), None, body_of[r] if keep else None, None))
+                    out.append((None, row, doc_id, len(body_of[r]), hashlib.sha256(body_of[r]).hexdigest(), None, rows[r][2] if keep else None, None, own_extra))
                     continue
                 own = slice(bounds[r], bounds[r + 1])
-                out.append((None, row, doc_id, len(body_of[r]), None, body_of[r], _bytes(full_first[own] - offsets[r], full_last[own] - offsets[r]), None))
+                out.append((None, row, doc_id, len(body_of[r]), None, rows[r][2], _bytes(full_first[own] - offsets[r], full_last[own] - offsets[r]), None, own_extra))
             if wanted.any():
                 order = np.flatnonzero(wanted)
                 order = order[np.argsort(part[order], kind="stable")]
@@ -385,13 +426,13 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 24,
                     o = order[a:b]
                     start, end = blocks.first[o], blocks.last[o] + span - 1
                     pieces = b"".join([data[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)])
-                    out.append((int(part[o[0]]), None, None, None, None, None, None, _bytes(blocks.seed[o], numbers[which[o]], rank[o], start - offsets[which[o]], end - start) + pieces))
+                    out.append((int(part[o[0]]), None, None, None, None, None, None, squeeze(_bytes(blocks.seed[o], numbers[which[o]], rank[o], start - offsets[which[o]], end - start) + pieces), None))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         for rb in batches:
             rows: list[tuple] = []
             size = 0
-            for label, is_text, fact, *row in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            for label, is_text, fact, *row in _rows(rb):
                 if label != batch:
                     if rows:
                         yield texts_of(rows)
@@ -404,24 +445,26 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 24,
                     table, found = known(), []
                 rows.append(tuple(row))
                 size += len(row[2])
-                if size > 1 << 21:
+                if size > 1 << 19:
                     yield texts_of(rows)
                     rows, size = [], 0
             if rows:
                 yield texts_of(rows)
 
     none = lambda kind: F.lit(None).cast(kind)
-    mixed = facts.select("batch", F.lit(0).alias("is_text"), "facts", none("long").alias("row"), none("long").alias("doc_id"), none("string").alias("text"), none("long").alias("rank"))
-    mixed = mixed.unionByName(ranked.select("batch", F.lit(1).alias("is_text"), none("binary").alias("facts"), "row", "doc_id", "text", "rank"))
-    marked = mixed.repartition("batch").sortWithinPartitions("batch", "is_text").mapInArrow(mark, "part int, row long, doc_id long, n_bytes long, sha string, text binary, spans binary, contexts binary")
+    mixed = facts.select("batch", F.lit(0).alias("is_text"), "facts", none("long").alias("row"), none("long").alias("doc_id"), none("binary").alias("text"), none("long").alias("rank"), none("string").alias("extra"))
+    mixed = mixed.unionByName(ranked.select("batch", F.lit(1).alias("is_text"), none("binary").alias("facts"), "row", "doc_id", "text", "rank", "extra"))
+    marked = mixed.repartition("batch").sortWithinPartitions("batch", "is_text").mapInArrow(mark, "part int, row long, doc_id long, n_bytes long, sha string, text binary, spans binary, contexts binary, extra string")
     marked = settle(marked, "marked")
     discard(texts)
     discard(facts)
+    release(spark)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by part; one part's contexts are held at a time."""
         held: list[bytes] = []
         part = None
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def windows(blob: bytes) -> tuple[np.ndarray, ...]:
             seed, row, doc, first, size = _arrays(blob, "<u8", "<i8", "<i8", "<i8", "<i8")
@@ -474,7 +517,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 24,
                     if held:
                         yield found()
                     part, held = own_part, []
-                held.append(blob)
+                held.append(unpack(blob))
         if held:
             yield found()
 
@@ -483,30 +526,46 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 24,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by row number: marked windows first, then the text."""
         row, found = None, []
+        unpack = zstandard.ZstdDecompressor().decompress
         for rb in batches:
             out: list[tuple] = []
-            for own_row, first, last, doc_id, text, spans in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            for own_row, first, last, doc_id, text, spans, extra in _rows(rb):
                 if own_row != row:
                     row, found = own_row, []
                 if text is None:
                     found.append((first, last))
                     continue
+                text = unpack(text)
                 a, b = _arrays(spans, "<i8", "<i8")
-                extra = np.array(found, np.int64).reshape(-1, 2)
+                ends_of = np.array(found, np.int64).reshape(-1, 2)
                 step = np.zeros(len(text) + 1, np.int32)
-                np.add.at(step, np.concatenate([a, extra[:, 0]]), 1)
-                np.add.at(step, np.concatenate([b, extra[:, 1]]) + span - 1, -1)
+                np.add.at(step, np.concatenate([a, ends_of[:, 0]]), 1)
+                np.add.at(step, np.concatenate([b, ends_of[:, 1]]) + span - 1, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(gone) else 0
-                out.append((doc_id, len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept if keep else None))
+                out.append((doc_id, len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep else None, extra))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    open_texts = marked.where("text is not null").select("row", none("long").alias("first"), none("long").alias("last"), "doc_id", "text", "spans")
-    both = ends.select("row", "first", "last", none("long").alias("doc_id"), none("binary").alias("text"), none("binary").alias("spans")).unionByName(open_texts)
-    changed = both.repartition("row").sortWithinPartitions("row", F.col("text").isNotNull()).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    rest = marked.where("sha is not null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.col("spans").alias("kept"))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "extra"])
+
+    open_texts = marked.where("text is not null").select("row", none("long").alias("first"), none("long").alias("last"), "doc_id", "text", "spans", "extra")
+    both = ends.select("row", "first", "last", none("long").alias("doc_id"), none("binary").alias("text"), none("binary").alias("spans"), none("string").alias("extra")).unionByName(open_texts)
+    changed = both.repartition("row").sortWithinPartitions("row", F.col("text").isNotNull()).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, extra string")
+    def open_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for rb in batches:
+            for i in range(0, len(rb), 256):
+                part = rb.slice(i, 256)
+                at = part.schema.get_field_index("kept_text")
+                yield part.set_column(at, "kept_text", pa.array([unpack(x).decode("utf-8", "ignore") for x in part.column(at).to_pylist()], pa.string()))
+
+    rest = marked.where("sha is not null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.col("spans").alias("kept_text"), "extra")
+    if keep:
+        rest = rest.mapInArrow(open_up, ", ".join(f"{c} {t}" if c != "kept_text" else "kept_text string" for c, t in rest.dtypes))
+    if not keep:
+        return changed.drop("kept_text", "extra").unionByName(rest.drop("kept_text", "extra"))
     out = changed.unionByName(rest)
-    return out if keep else out.drop("kept")
+    shape = f"struct<was_null: boolean{', carried: ' + docs.select(F.struct(*carry)).schema[0].dataType.simpleString() if carry else ''}>"
+    out = out.withColumn("extra", F.from_json("extra", shape)).withColumn("kept_text", F.when(~F.col("extra.was_null"), F.col("kept_text")))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *[F.col("extra.carried")[c].alias(c) for c in carry])
