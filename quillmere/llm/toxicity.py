@@ -199,6 +199,18 @@ def score_texts(docs: DataFrame, model: SubwordModel) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.7) -> DataFrame:
+    """Rows of `docs`, with all their columns, whose text scores below `threshold`; filtered where they are scored."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for rb in batches:
+            yield rb.filter(pa.array(scorer(rb.column(place).to_pylist()) < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_chars: int = 100_000) -> SubwordModel:
     """A model from at most `most_rows` labelled documents outside the held-out fold."""
     return train(sample(docs, labels, "toxic", FOLD, most_rows, most_chars))
