@@ -143,7 +143,7 @@ def pair_starts(events: DataFrame, key: str, time: str, kind: str, start: str =
     w = Window.partitionBy(key).orderBy(F.col(time), F.when(F.col(kind) == start, 0).otherwise(1))
     rows = events.withColumn("_before", F.lag(kind).over(w)).withColumn("_since", F.lag(time).over(w))
     paired = F.col(key).isNotNull() & (F.col(kind) == stop) & F.coalesce(F.col("_before") == start, F.lit(False))
-    took = F.greatest(F.lit(0), F.unix_millis(F.col(time).cast("timestamp")) - F.unix_millis(F.col("_since").cast("timestamp")))
+    took = F.greatest(F.lit(0), F.floor((F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("_since").cast("timestamp"))) / 1000)).cast("long")
     return rows.withColumn("paired", paired).withColumn("duration_ms", F.when(paired, took)).drop("_before", "_since")
 
 
