@@ -58,10 +58,10 @@ class SubwordModel:
         return np.bincount(where, self.table[ids], len(words)) / np.maximum(np.bincount(where, minlength=len(words)), 1) + self.bias
 
 
-def _fit(ids: np.ndarray, where: np.ndarray, clean: np.ndarray, toxic: np.ndarray, buckets: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
+def _fit(ids: np.ndarray, counts: np.ndarray, clean: np.ndarray, toxic: np.ndarray, buckets: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
     """Train subword vectors and the softmax on bags jointly by Adagrad; returns table and bias.
 
-    clean and toxic: how often each bag is shown as either in an epoch, at most. Every batch
+    ids: subwords of all bags in turn, counts of each. clean and toxic: how often each bag is shown as either in an epoch, at most. Every batch
     has three clean bags for a toxic one.
     """
     rng = np.random.default_rng(seed)
@@ -69,8 +69,6 @@ def _fit(ids: np.ndarray, where: np.ndarray, clean: np.ndarray, toxic: np.ndarra
     soft = (rng.standard_normal((2, dim)) * 0.3).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen = [np.full_like(x, 1e-12) for x in (vectors, soft, bias)]
-    order = np.argsort(where, kind="stable")
-    ids, counts = ids[order], np.bincount(where, minlength=len(clean))
     starts = np.concatenate([[0], np.cumsum(counts)])
     shown = [np.repeat(np.arange(len(t)), np.ceil(t).astype(np.int64)) for t in (clean, toxic)]
     for _ in range(epochs):
@@ -130,6 +128,8 @@ def train(rows: list[tuple[int, str, int]], buckets: int = 1 << 17, dim: int = 8
     """
     held = [r for k, r in enumerate(rows) if k % 4 == 3]
     fit = [r for k, r in enumerate(rows) if k % 4 != 3]
+    some = rows if sum(r[2] for r in held) < 5 else held
+    del rows
     index: dict[str, int] = {}
     tally: list[list[int]] = [[], []]
     for _, text, label in fit:
@@ -141,27 +141,31 @@ def train(rows: list[tuple[int, str, int]], buckets: int = 1 << 17, dim: int = 8
             tally[1 if label else 0][k] += 1
     clean, toxic = (np.array(t, np.float64) for t in tally)
     if not index or not toxic.sum() or not clean.sum():  # nothing to tell apart
-        share = np.clip(np.mean([r[2] for r in rows]) if rows else 0.0, 0.01, 0.99)
+        share = np.clip(np.mean([r[2] for r in held + fit]) if held or fit else 0.0, 0.01, 0.99)
         return SubwordModel(np.zeros(buckets, np.float32), 0.0, np.array([np.log(share / (1 - share)), *[0.0] * (_EVIDENCE - 1)]))
     words = list(index)
-    ids, where = subwords(words, buckets)
+    parts = [subwords(words[k : k + 20_000], buckets) for k in range(0, len(words), 20_000)]
+    ids = np.concatenate([p[0].astype(np.int32) for p in parts])
+    where = np.concatenate([p[1].astype(np.int32) + k * 20_000 for k, p in enumerate(parts)])
+    del parts
+    order = np.argsort(where, kind="stable")
+    ids, counts = ids[order], np.bincount(where, minlength=len(words))
+    del where, order
     often = np.log2(1 + clean)  # a common word counts a few times, a rare one once
-    table, bias = _fit(ids, where, often, np.minimum(toxic, 50), buckets, dim, epochs, rate, seed)
+    table, bias = _fit(ids, counts, often, np.minimum(toxic, 50), buckets, dim, epochs, rate, seed)
     model = SubwordModel(table, bias, np.zeros(_EVIDENCE))
     for k in range(rounds):
-        scores = model.word_scores(words)
+        scores = np.concatenate([model.word_scores(words[a : a + 20_000]) for a in range(0, len(words), 20_000)])
         positive = (clean == 0) & (scores > np.quantile(scores[clean > 0], 0.999))
         if not positive.any():
             break
-        table, bias = _fit(ids, where, often, np.where(positive, np.minimum(toxic, 50), 0), buckets, dim, epochs, rate, seed + k + 1)
+        table, bias = _fit(ids, counts, often, np.where(positive, np.minimum(toxic, 50), 0), buckets, dim, epochs, rate, seed + k + 1)
         model = SubwordModel(table, bias, np.zeros(_EVIDENCE))
-    if sum(r[2] for r in held) < 5:
-        held = rows
     x = []
-    for _, text, _ in held:
+    for _, text, _ in some:
         own = sorted(words_of(text))
         x.append(_evidence(model.word_scores(own).tolist() if own else []))
-    model.calibration = _logistic(np.array(x), np.array([float(r[2]) for r in held]))
+    model.calibration = _logistic(np.array(x), np.array([float(r[2]) for r in some]))
     return model
 
 
@@ -211,7 +215,7 @@ def keep_clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.7) ->
     return docs.mapInArrow(work, docs.schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_chars: int = 100_000) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_chars: int = 100_000) -> SubwordModel:
     """A model from at most `most_rows` labelled documents outside the held-out fold."""
     return train(sample(docs, labels, "toxic", FOLD, most_rows, most_chars))
 
