@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 
 def read_strict(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -14,10 +14,9 @@ def read_strict(spark: SparkSession, path: str, schema: StructType) -> DataFrame
 
 def read_lenient(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines with their text)."""
-    kept = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
-    rows = spark.read.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"))
-    return rows.where("_corrupt_record is null").drop("_corrupt_record", "_file"), rows.where("_corrupt_record is not null").select(F.col("_corrupt_record").alias("line"), F.col("_file").alias("file"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    fine = F.try_parse_json("value").isNotNull()
+    return lines.where(fine).select(F.from_json("value", schema).alias("_r")).select("_r.*"), lines.where(~fine).select(F.col("value").alias("line"), "file")
 
 
 def read_numbered(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
