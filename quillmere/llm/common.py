@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,43 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests on one machine.
-LOCAL_SHARED_DIR = "/tmp/checkpoints/quillmere"
+from quillmere.storage import discard, release, settle, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR).rstrip("/")
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmere/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what settle() wrote, once nothing reads it any more."""
-    path = getattr(df, "_settled_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now.
-
-    It does so once the driver has collected what stood for them, in Python first.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+__all__ = ["discard", "release", "settle", "shared_dir"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

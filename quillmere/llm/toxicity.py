@@ -172,7 +172,7 @@ def train(rows: list[tuple[int, str, int]], buckets: int = 1 << 17, dim: int = 8
 class Scorer:
     """Scores of whole texts, with a bounded memory of words."""
 
-    def __init__(self, model: SubwordModel, keep: int = 1_000_000):
+    def __init__(self, model: SubwordModel, keep: int = 400_000):
         self.model, self.keep, self.known = model, keep, {}
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
