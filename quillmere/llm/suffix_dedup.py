@@ -386,7 +386,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
         def known() -> tuple[np.ndarray, ...]:
             rows = [_arrays(unpack(f), "<u8", "<i8", "u1") for f in found]
             key, least, ask = (np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, t) for k, t in enumerate(("<u8", "<i8", "u1")))
-            order = np.argsort(key)
+            order = np.lexsort((1 - ask, key))  # a batch that was read in parts has facts of each; one that asks comes first
             return key[order], least[order], ask[order]
 
         def texts_of(rows: list[tuple]) -> pa.RecordBatch:
