@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillmere.llm.common import slices, utf8
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -32,7 +34,8 @@ def differencing(sizes: list[int], windows: int) -> list[int]:
     sums: dict[int, np.ndarray] = {}
     heap = [(-s, i) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    n = len(sizes)
+    n, bits, number = len(sizes), int(windows).bit_length(), np.arange(windows)
+    mask = (1 << bits) - 1
     links: list[tuple[int, int, np.ndarray]] = []  # (a, b, order): window w of the merge holds window w of a and window order[w] of b
 
     def dense(node: int) -> np.ndarray:
@@ -46,11 +49,10 @@ def differencing(sizes: list[int], windows: int) -> list[int]:
         _, a = heapq.heappop(heap)
         _, b = heapq.heappop(heap)
         x, y = dense(a), dense(b)  # each sorted, largest first
-        total = x + y[::-1]
-        order = np.argsort(-total, kind="stable")
+        keyed = np.sort(-(x + y[::-1]) << bits | number)  # largest first, equal ones by number
+        order, total = keyed & mask, -(keyed >> bits)
         node = n + len(links)
         links.append((a, b, order))
-        total = total[order]
         sums[node] = total
         heapq.heappush(heap, (-int(total[0] - total[-1]), node))
     out = [0] * n
@@ -67,7 +69,7 @@ def differencing(sizes: list[int], windows: int) -> list[int]:
     return out
 
 
-def pack_lengths(lengths: list[int], capacity: int = 2048, fragment: int = 256) -> list[tuple[int, int, int, int, int]]:
+def pack_lengths(lengths: list[int], capacity: int = 2048, fragment: int = 512) -> list[tuple[int, int, int, int, int]]:
     """Pieces (item, start, length, sequence, offset) for items of the given lengths.
 
     Items are cut into full windows; what is left of each is cut into fragments and spread
@@ -82,7 +84,9 @@ def pack_lengths(lengths: list[int], capacity: int = 2048, fragment: int = 256)
             sequence += 1
         rest += [(item, at, min(fragment, length - at)) for at in range(full * capacity, length, fragment)]
     sizes = [r[2] for r in rest]
-    windows = -(-sum(sizes) // capacity) if sizes else 0
+    windows = -(-sum(sizes) // capacity)
+    if windows > 32:  # so many are never filled to the last id; half a percent of room spares vain attempts
+        windows = -(-sum(sizes) // (capacity - capacity // 200))
     while sizes:
         chosen = differencing(sizes, windows)
         if np.bincount(chosen, weights=sizes, minlength=windows).max() <= capacity:
@@ -104,37 +108,59 @@ def pack_lengths(lengths: list[int], capacity: int = 2048, fragment: int = 256)
 _KEEP_WHOLE = re.compile("(?:[^\\w\\s]|_)[,.]|[\u03a3\u0130]")
 
 
-class WordEncoder(dict):
-    """Ids of texts, word by word, with a bounded memory (this dict) of words already encoded.
+class WordEncoder:
+    """Ids of texts, word by word, with a bounded memory of words already encoded.
 
     The tokenizer's splits never cross space, tab, newline or carriage return, so a text's ids
     are those of its words in turn. It lower-cases and cuts between a letter and a mark, so a
     text may be lower-cased first and a comma or full stop that follows no mark stands alone.
+    New words of letters are encoded together; each ends with its only id that ends a word.
     """
 
-    def __init__(self, path: str, keep: int = 800_000, longest: int = 200):
+    def __init__(self, path: str, keep: int = 1_200_000, longest: int = 200):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.keep, self.longest = Tokenizer.from_file(path), keep, longest
-        self[""] = b""
-
-    def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= self.longest:
-            if len(self) > self.keep:
-                self.clear()
-                self[""] = b""
-            self[word] = ids
-        return ids
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the whole text."""
+        self.tokenizer, self.keep, self.longest, self.known = Tokenizer.from_file(path), keep, longest, {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _one(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters; of those that the tokenizer cuts otherwise, one by one."""
+        joined = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = np.array(joined, "<u4")
+        ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+        if len(ends) != len(words):
+            return {w: self._one(w) for w in words}
+        body, cuts = ids.tobytes(), (ends * 4).tolist()
+        return dict(zip(words, [body[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+
+    @staticmethod
+    def words(text: str) -> list[str]:
         if _KEEP_WHOLE.search(text) is None and is_normalized("NFC", text):
             lower = text.lower()
             if text.isascii() or is_normalized("NFC", lower):
                 text = lower.replace(",", " ,").replace(".", " .")
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of whole texts."""
+        split = [self.words(t) for t in texts]
+        every = set().union(*split)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > self.keep:
+            self.known, new = {"": b""}, every - {""}
+        plain = [w for w in new if w.isalpha() and len(w) <= self.longest]
+        for k in range(0, len(plain), 1000):
+            self.known.update(self._together(plain[k : k + 1000]))
+        long = {w: self._one(w) for w in new if w not in self.known}
+        self.known.update((w, b) for w, b in long.items() if len(w) <= self.longest)
+        if all(len(w) <= self.longest for w in long):
+            return [b"".join(map(self.known.__getitem__, w)) for w in split]
+        return [b"".join([long[x] if x in long else self.known[x] for x in w]) for w in split]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, group_tokens: int = 1 << 20) -> DataFrame:
@@ -158,7 +184,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from pyspark import TaskContext
 
-        encode, sequence = WordEncoder(tokenizer_path), TaskContext.get().partitionId() << 32
+        encoder, sequence = WordEncoder(tokenizer_path), TaskContext.get().partitionId() << 32
         ids: list[bytes] = []
         end_mark = array("I", [end_id]).tobytes()
         keys: list = []
@@ -185,13 +211,15 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
             return out
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = encode(text.as_py() or "") + end_mark
-                ids.append(own)
-                keys.append(key)
-                held += len(own) // 4
-                if held >= group_tokens:
-                    yield emit()
+            _, offsets = utf8(batch.column(1))
+            for i, j in slices(offsets, 1 << 18):
+                texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
+                for key, own in zip(batch.column(0).slice(i, j - i).to_pylist(), encoder.encode(texts), strict=True):
+                    ids.append(own + end_mark)
+                    keys.append(key)
+                    held += len(own) // 4 + 1
+                    if held >= group_tokens:
+                        yield emit()
         if ids:
             yield emit()
 
