@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +35,9 @@ def normalise(text: str) -> list[str]:
 
 
 def bigrams_of(text: str) -> list[str]:
+    """Bigrams of a template, repeats kept."""
     words = normalise(text)
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
-
-
-def size_of(text: str) -> int:
-    """Bigrams of a template, repeats counted."""
-    return max(0, len(normalise(text)) - 1)
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
 def word_bigrams(words: Column) -> Column:
@@ -71,9 +68,9 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] | No
     text gives no row. Rows with one doc_id count as one document; rows with a null doc_id count
     together. An empty table gives no rows. Other columns are not read.
     """
-    known = {name: (bigrams_of(text), size_of(text)) for name, text in (templates or TEMPLATES).items()}
-    low = min(n for _, n in known.values()) * threshold / (2 - threshold)
-    high = max(n for _, n in known.values()) * (2 - threshold) / threshold
+    known = {name: Counter(bigrams_of(text)) for name, text in (templates or TEMPLATES).items()}
+    low = min(c.total() for c in known.values()) * threshold / (2 - threshold)
+    high = max(c.total() for c in known.values()) * (2 - threshold) / threshold
     lines = F.split(F.col("text"), "\n")
     none = F.array().cast("array<string>")
     paragraphs = F.filter(F.split(F.col("text"), r"\n[ \t\r]*\n"), lambda p: p.contains("\n"))
@@ -83,11 +80,13 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] | No
     words = pieces.where((F.size("_pieces") >= low) & (F.size("_pieces") <= high + 3)).select("doc_id", _fixed(F.transform(F.filter("_pieces", lambda w: w != ""), F.lower)).alias("_words"))
     grams = words.where((F.size("_words") - 1 >= low) & (F.size("_words") - 1 <= high)).select("doc_id", _fixed(word_bigrams(F.col("_words"))).alias("_grams"))
 
-    def match(name: str, own: list[str], count: int) -> Column:
-        n = F.size("_grams")
+    def match(name: str, own: Counter) -> Column:
+        n, count = F.size("_grams"), own.total()
         possible = (n >= count * threshold / (2 - threshold)) & (n <= count * (2 - threshold) / threshold)
-        dice = F.lit(2.0) * F.size(F.array_intersect("_grams", F.array(*map(F.lit, own)))) / (n + count)
-        return F.when(possible, F.struct(F.lit(name).alias("licence"), dice.alias("dice")))
+        times = F.create_map(*[F.lit(x) for pair in sorted(own.items()) for x in pair])
+        both = F.array_intersect("_grams", F.array(*map(F.lit, sorted(own))))
+        shared = F.aggregate(both, F.lit(0), lambda s, b: s + F.least(F.element_at(times, b), F.size(F.filter("_grams", lambda g: g == b))))
+        return F.when(possible, F.struct(F.lit(name).alias("licence"), (F.lit(2.0) * shared / (n + count)).alias("dice")))
 
-    found = grams.select("doc_id", F.inline(F.filter(F.array(*[match(k, *v) for k, v in known.items()]), lambda m: m.isNotNull() & (m["dice"] >= threshold))))
+    found = grams.select("doc_id", F.inline(F.filter(F.array(*[match(k, c) for k, c in known.items()]), lambda m: m.isNotNull() & (m["dice"] >= threshold))))
     return found.groupBy("doc_id", "licence").agg(F.round(F.max("dice"), 6).alias("dice"), F.count(F.lit(1)).alias("n_units"))

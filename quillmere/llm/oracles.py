@@ -48,11 +48,11 @@ FROM c
 
 
 def _licences(threshold: float = 0.8) -> str:
-    from quillmere.llm.licences import TEMPLATES, bigrams_of, size_of
+    from quillmere.llm.licences import TEMPLATES, bigrams_of
 
-    rows = ",\n  ".join(f"('{name}', [{', '.join(repr(b) for b in bigrams_of(text))}], {size_of(text)})" for name, text in TEMPLATES.items())
+    rows = ",\n  ".join(f"('{name}', [{', '.join(repr(b) for b in bigrams_of(text))}])" for name, text in TEMPLATES.items())
     return rf"""
-WITH t(licence, own, b) AS (VALUES
+WITH t(licence, own) AS (VALUES
   {rows}),
 units AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE text IS NOT NULL
@@ -60,8 +60,8 @@ units AS (
   UNION ALL SELECT doc_id, p FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS p FROM documents WHERE regexp_matches(text, '\n[ \t\r]*\n')) WHERE contains(p, chr(10))),
 w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words FROM units),
 g AS (SELECT doc_id, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS grams FROM w WHERE len(words) BETWEEN 2 AND 1000),
-d AS (SELECT doc_id, licence, 2.0::DOUBLE * len(list_intersect(list_distinct(grams), own)) / (len(grams) + b) AS dice
-      FROM g JOIN t ON len(grams) >= b * {threshold} / (2 - {threshold}) AND len(grams) <= b * (2 - {threshold}) / {threshold})
+p AS (SELECT doc_id, licence, grams, own, len(own) AS b FROM g JOIN t ON len(grams) >= len(own) * {threshold} / (2 - {threshold}) AND len(grams) <= len(own) * (2 - {threshold}) / {threshold} WHERE list_has_any(grams, own)),
+d AS (SELECT doc_id, licence, 2.0::DOUBLE * list_sum(list_transform(list_intersect(list_distinct(grams), own), lambda x: least(len(list_filter(own, lambda y: y = x)), len(list_filter(grams, lambda z: z = x))))) / (len(grams) + b) AS dice FROM p)
 SELECT doc_id, licence, round(max(dice), 6) AS dice, count(*) AS n_units FROM d WHERE dice >= {threshold} GROUP BY doc_id, licence
 """
 
