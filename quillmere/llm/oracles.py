@@ -67,3 +67,28 @@ SELECT doc_id, licence, round(max(dice), 6) AS dice, count(*) AS n_units FROM d
 
 
 ORACLE_SQL |= {"op1_tool_calls": TOOL_CALLS, "op7_licences": _licences()}
+
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(0, greatest(len(h) // 2 - 49, 0)), lambda p: substr(h, 2 * p + 1, 100))) AS s, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS p FROM d),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+c AS (SELECT w.doc_id, w.p FROM w JOIN m USING (s) WHERE w.doc_id > m.least),
+b AS (SELECT doc_id, unnest(range(0, len(h) // 2)) AS q, unnest(list_transform(range(0, len(h) // 2), lambda q: substr(h, 2 * q + 1, 2))) AS x FROM d),
+k AS (SELECT b.doc_id, b.q, b.x, coalesce(max(c.p) OVER (PARTITION BY b.doc_id ORDER BY b.q) >= b.q - 49, FALSE) AS gone FROM b LEFT JOIN c ON c.doc_id = b.doc_id AND c.p = b.q),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY q), FALSE) AS starts FROM k),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, coalesce(string_agg(x, '' ORDER BY q) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
+
+NEAR_COPIES = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS both FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(least, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(least, s.doc_id)) AS kept FROM s LEFT JOIN c USING (doc_id)
+"""
+
+ORACLE_SQL |= {"op3_suffix_array": REPEATS, "op8_minhash": NEAR_COPIES}
