@@ -38,6 +38,15 @@ def merge_runs(events: DataFrame) -> DataFrame:
     return rows.where("timestamp is not null").orderBy("timestamp", "query_run_id")
 
 
+def run_events(asked: DataFrame, ranked: DataFrame, packets: DataFrame, at: str) -> DataFrame:
+    """Two rows for each request: what retrieval found and what the packet took. Of the task only hash and length are kept."""
+    ids = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("matched_ids"))
+    none = F.array().cast("array<string>")
+    first = asked.join(ids, "query_id", "left").select(F.col("query_id").alias("query_run_id"), F.lit("retrieval").alias("phase"), F.lit(at).alias("timestamp"), F.sha2(F.col("task").cast("binary"), 256).alias("task_hash"), F.length("task").alias("task_length"), "domains", "scenarios", "project_keys", F.coalesce("matched_ids", none).alias("matched_ids"), F.lit(None).cast("array<string>").alias("injected_ids"))
+    second = packets.select(F.col("query_id").alias("query_run_id"), F.lit("packet").alias("phase"), F.lit(at).alias("timestamp"), F.col("injected").alias("injected_ids"))
+    return first.unionByName(second, allowMissingColumns=True)
+
+
 def is_bounded(domains: Column, scenarios: Column, projects: Column) -> Column:
     return (F.coalesce(F.size(domains), F.lit(0)) > 0) | (F.coalesce(F.size(scenarios), F.lit(0)) > 0) | (F.coalesce(F.size(projects), F.lit(0)) > 0)
 
