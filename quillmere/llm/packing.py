@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -103,9 +102,11 @@ def pack_lengths(lengths: list[int], capacity: int = 2048, fragment: int = 512)
     return pieces
 
 
-#: A comma or full stop within a run of marks, which the tokenizer keeps together; letters whose
-#: lower case depends on their place or is two characters.
-_KEEP_WHOLE = re.compile("(?:[^\\w\\s]|_)[,.]|[\u03a3\u0130]")
+def _marks_stand_alone(text: str) -> bool:
+    """No comma or full stop follows another mark (the tokenizer keeps runs of marks together), and no
+    letter's lower case depends on its place or is two characters."""
+    before = {piece[-1:] for piece in text.replace(".", ",").split(",")[:-1]}
+    return all(c.isalnum() or c.isspace() for c in before) and "\u03a3" not in text and "\u0130" not in text
 
 
 class WordEncoder:
@@ -140,7 +141,7 @@ class WordEncoder:
 
     @staticmethod
     def words(text: str) -> list[str]:
-        if _KEEP_WHOLE.search(text) is None and is_normalized("NFC", text):
+        if _marks_stand_alone(text) and is_normalized("NFC", text):
             lower = text.lower()
             if text.isascii() or is_normalized("NFC", lower):
                 text = lower.replace(",", " ,").replace(".", " .")
