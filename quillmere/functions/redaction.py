@@ -42,12 +42,15 @@ SECRET_LIKE = (RULES[0].pattern.split("[")[0], RULES[2].pattern, RULES[4].patter
 def redact(df: DataFrame, column: str, personal: bool = True, out: str = "redacted", counts: str = "redactions") -> DataFrame:
     """Add `out` (redacted text) and `counts` (map of kind to number, kinds that occur only). Null stays null."""
     rules = [r for r in RULES if personal or not r.personal]
-    df = df.withColumn("_t0", F.col(column))
-    for k, rule in enumerate(rules):
-        df = df.withColumn(f"_n{k}", F.coalesce(F.regexp_count(f"_t{k}", F.lit(rule.pattern)), F.lit(0)).cast("long")).withColumn(f"_t{k + 1}", F.regexp_replace(f"_t{k}", rule.pattern, rule.replacement))
-    found = F.map_from_arrays(F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.col(f"_n{k}") for k in range(len(rules))]))
-    df = df.withColumn(out, F.col(f"_t{len(rules)}")).withColumn(counts, F.map_filter(found, lambda _, n: n > 0))
-    return df.drop(*[f"_t{k}" for k in range(len(rules) + 1)], *[f"_n{k}" for k in range(len(rules))])
+    names = df.columns
+    df = df.withColumn("_t", F.struct(F.col(column).alias("text"), F.array().cast("array<bigint>").alias("counts")))
+    for rule in rules:
+        count = F.coalesce(F.regexp_count("_t.text", F.lit(rule.pattern)), F.lit(0)).cast("long")
+        step = F.struct(F.regexp_replace("_t.text", rule.pattern, rule.replacement).alias("text"), F.array_append("_t.counts", count).alias("counts"))
+        # one element a row: keeps the steps apart, else each would compute those below it again
+        df = df.select(*names, F.explode(F.array(step)).alias("_t"))
+    found = F.map_from_arrays(F.array(*[F.lit(r.kind) for r in rules]), F.col("_t.counts"))
+    return df.withColumn(out, F.col("_t.text")).withColumn(counts, F.map_filter(found, lambda _, n: n > 0)).drop("_t")
 
 
 def redact_error(text: Column, longest: int = 500) -> Column:
