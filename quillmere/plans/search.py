@@ -40,10 +40,15 @@ hits AS (
 """
 
 
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_hits() with the place of every hit among its passage's."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return _hits(spark, sf_dir).withColumn("rank", F.row_number().over(order))
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The k best documents of each passage."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return _hits(spark, sf_dir).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    return _ranked(spark, sf_dir).where(F.col("rank") <= k).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 BM25_TOPK = f"WITH {_HITS} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 5"
@@ -104,8 +109,11 @@ SELECT query_id, id, round(c, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM (
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """Lexical and dense ranks of each passage fused; row n of embeddings stands for passage and document n."""
-    lexical = bm25_topk(spark, sf_dir, 20).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), F.col("rank").alias("lexical_rank"))
+    """Lexical and dense ranks of each passage fused; row n of embeddings stands for passage and document n.
+
+    Every lexical hit has its rank; of the dense channel the 20 best rows have one.
+    """
+    lexical = _ranked(spark, sf_dir).select("query_id", "id", F.col("rank").alias("lexical_rank"))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")).join(v, "id").select(F.col("id").alias("query_id"), "vector")
     corpus = v.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
