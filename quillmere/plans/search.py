@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmere.functions import access, scores, text
-from quillmere.operators import embeddings, evaluation, packet
+from quillmere.operators import embeddings, packet
 from quillmere.operators.index import Index
 from quillmere.operators.retrieval import dense_candidates
 
+#: Runs of blanks and ASCII marks that no token holds.
+_APART = re.compile(r"[\s.,;:!?()\"'\[\]{}<>]+")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -201,16 +208,63 @@ SELECT * FROM d WHERE visibility = 'team' OR (visibility = 'project' AND (doc_id
 """
 
 
+def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, doc_id) of every document that holds at least half of a passage's tokens as substrings.
+
+    Tokens hold no blanks and no marks but `_`, `/` and `-`, so each stands inside one word of a
+    document. The tokens that a word holds are a bit set, kept for words met before; a document's
+    set is held against those of all passages, a fixed table that goes to the tasks.
+    """
+    asked = [(r.item_id, r._t) for r in table(spark, sf_dir, "benchmark").select("item_id", text.query_tokens(F.col("text")).alias("_t")).collect() if r._t]
+    number = {t: n for n, t in enumerate(sorted({t for _, tokens in asked for t in tokens}))}
+    lengths = sorted({len(t) for t in number})
+    wanted = [(item, sum(1 << number[t] for t in tokens), len(tokens)) for item, tokens in asked]
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            items, docs = [], []
+            for doc, hay in zip(batch["doc_id"].to_pylist(), batch["_hay"].to_pylist(), strict=True):
+                held = 0
+                for word in set(_APART.split(hay or "")):
+                    bits = known.get(word)
+                    if bits is None:
+                        if len(word) <= 64:
+                            inside = {part for n in lengths for at in range(len(word) - n + 1) if (part := word[at : at + n]) in number}
+                        else:
+                            inside = {t for t in number if t in word}
+                        bits = sum(1 << number[t] for t in inside)
+                        if len(known) >= 200_000:
+                            known.clear()
+                        if len(word) <= 64:
+                            known[word] = bits
+                    held |= bits
+                for item, own, size in wanted:
+                    if (own & held).bit_count() * 2 >= size:
+                        items.append(item)
+                        docs.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(docs, pa.int64())], names=["item_id", "doc_id"])
+
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("_hay"))
+    return docs.mapInArrow(judged, "item_id long, doc_id long")
+
+
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of the lexical ranking; a document is relevant to a passage if it holds at least half of its tokens."""
-    top = bm25_topk(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").select("item_id", text.query_tokens(F.col("text")).alias("_t"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("_hay"))
-    rows = top.join(F.broadcast(asked), "item_id").join(docs, "doc_id").withColumn("_good", F.size(F.filter("_t", lambda t: F.contains(F.col("_hay"), t))) * 2 >= F.size("_t"))
-    found = rows.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("id")))), lambda x: x["id"]).alias("found"), F.array_sort(F.collect_set(F.when(F.col("_good"), F.col("doc_id").cast("string")))).alias("expected"))
-    grades = F.map_from_entries(F.transform("expected", lambda x: F.struct(x, F.lit(1))))
-    e, f = F.col("expected"), F.col("found")
-    return found.select("item_id", F.size("expected").alias("relevant"), F.round(evaluation.recall_at(e, f, 1), 6).alias("recall_1"), F.round(evaluation.recall_at(e, f, 3), 6).alias("recall_3"), F.round(evaluation.reciprocal_rank(e, f), 6).alias("reciprocal_rank"), F.round(evaluation.ndcg_at(grades, f), 6).alias("ndcg_5"))
+    """Metrics of the lexical ranking; a document is relevant to a passage if it holds at least half of its tokens.
+
+    All documents are judged, found or not. Only counts of the relevant ones are kept for each
+    passage; the found ones are told apart by rank.
+    """
+    top = bm25_topk(spark, sf_dir).select("item_id", "doc_id", "rank")
+    judged = _relevant(spark, sf_dir).distinct().join(top, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("_all"), F.collect_list("rank").alias("_ranks"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id").where(F.size(text.query_tokens(F.col("text"))) > 0)
+    rows = asked.join(judged, "item_id", "left").select("item_id", F.coalesce("_all", F.lit(0)).alias("_n"), F.coalesce("_ranks", F.array().cast("array<int>")).alias("_r"))
+    n, r = F.col("_n"), F.col("_r")
+    gains = lambda ranks: F.aggregate(ranks, F.lit(0.0), lambda s, k: s + 1 / F.log2(k + 1.0))
+    of_all = lambda value: F.round(F.when(n == 0, 1.0).otherwise(value), 6)
+    within = lambda k: F.size(F.filter(r, lambda x: x <= k)) / n
+    ideal = gains(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(5)).cast("int"))))
+    return rows.select("item_id", n.cast("int").alias("relevant"), of_all(within(1)).alias("recall_1"), of_all(within(3)).alias("recall_3"), of_all(F.coalesce(1.0 / F.array_min(r), F.lit(0.0))).alias("reciprocal_rank"), of_all(gains(r) / ideal).alias("ndcg_5"))
 
 
 EVAL_METRICS = f"""

@@ -27,3 +27,10 @@ def test_hybrid_rrf_ranks_every_lexical_hit(spark, tables):
     got = [(r.doc_id, r.rrf) for r in search.hybrid_rrf(spark, at).orderBy("rank").collect()]
     share = lambda *ranks: round(sum(1 / (60 + r) for r in ranks) / (3 / 61), 6)
     assert got == [(30, share(30, 1)), (1, share(1)), (2, share(2)), (3, share(3)), (4, share(4))]
+
+
+def test_eval_metrics_judges_all_documents(spark, tables):
+    docs = [(n, "alpha beta") for n in range(1, 9)] + [(n, "gamma " + "z " * n) for n in range(11, 17)] + [(20, "xdeltax/xomegax"), (21, None)] + [(n, "other words") for n in range(30, 60)]
+    at = tables(documents=(docs, DOCUMENTS), benchmark=([(1, "alpha beta"), (2, "gamma delta omega sigma"), (3, "nowhere")], BENCHMARK))
+    got = {r.item_id: tuple(r)[1:] for r in search.eval_metrics(spark, at).collect()}
+    assert got == {1: (8, 0.125, 0.375, 1.0, 1.0), 2: (1, 0.0, 0.0, 0.0, 0.0), 3: (0, 1.0, 1.0, 1.0, 1.0)}
