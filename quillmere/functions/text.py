@@ -45,10 +45,17 @@ def embedding_tokens(text: Column, longest: int = 48) -> Column:
     return F.array_distinct(F.filter(bag_terms(text), lambda t: F.length(t) <= longest))
 
 
+def without_accents(text: Column) -> Column:
+    """Canonical decomposition (NFD, by the ICU that Spark brings) without combining marks.
+
+    Spark takes a reflected call for non-deterministic: it may stand in a select, not in an aggregate.
+    """
+    return F.regexp_replace(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(False)), r"\p{M}+", "")
+
+
 def index_terms(text: Column) -> Column:
     """Tokens of an indexed text: accents removed, lower case, runs of letters and digits, repeats kept."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(without_accents(F.lower(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def adjacent_pairs(tokens: Column) -> Column:

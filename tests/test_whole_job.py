@@ -1,7 +1,11 @@
 """What cuts of candidates, judgements and alphabets would lose, on small tables made for it."""
 
+import unicodedata
+
 import pytest
+from pyspark.sql import functions as F
 
+from quillmere.functions import text
 from quillmere.plans import search
 
 
@@ -34,3 +38,26 @@ def test_eval_metrics_judges_all_documents(spark, tables):
     at = tables(documents=(docs, DOCUMENTS), benchmark=([(1, "alpha beta"), (2, "gamma delta omega sigma"), (3, "nowhere")], BENCHMARK))
     got = {r.item_id: tuple(r)[1:] for r in search.eval_metrics(spark, at).collect()}
     assert got == {1: (8, 0.125, 0.375, 1.0, 1.0), 2: (1, 0.0, 0.0, 0.0, 0.0), 3: (0, 1.0, 1.0, 1.0, 1.0)}
+
+
+def test_index_terms_remove_every_accent(spark):
+    words = "Čeština Šťastný ŐŰ ąę Ăn Việt Ứng Ğ Åström й 한국".split()
+    plain = [unicodedata.normalize("NFD", w) for w in "cestina stastny ou ae an viet ung g astrom и 한국".split()]
+    rows = [(unicodedata.normalize(form, " ".join(words)),) for form in ("NFC", "NFD")]
+    for r in spark.createDataFrame(rows, "t string").select(text.index_terms(F.col("t")).alias("t")).collect():
+        assert r.t == plain
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_normalised", "evidence_gate", "token_stats", "context_budget"])
+def test_accents_outside_latin_1_as_in_the_sql(spark, tables, name):
+    import duckdb
+
+    said = ["žluťoučký kůň", "zlutoucky kun pěl", "őrült űr", unicodedata.normalize("NFD", "őrült űr crème"), "Việt Nam", "viet nam xa", "ăn cơm", "şarkı ğ", "łódź"]
+    docs = [(n, t, "xx") for n, t in enumerate(said + ["nothing here"] * 20)]
+    at = tables(documents=(docs, DOCUMENTS + ", lang string"), benchmark=([(1, "žluťoučký kůň"), (2, "őrült űr"), (3, "Việt Nam ăn")], BENCHMARK))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{at}/{t}.parquet/*.parquet'")
+    cur = con.execute(search.ORACLE_SQL[name])
+    columns = [c[0] for c in cur.description]
+    assert sorted(tuple(r[c] for c in columns) for r in search.QUERIES[name](spark, at).collect()) == sorted(cur.fetchall())
