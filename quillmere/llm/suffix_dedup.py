@@ -235,9 +235,12 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
     2. Each batch's anchored suffixes are sorted: by seed, then by body (the block's bytes).
        Entries equal within a batch are one, with the smallest document, so a passage however
        common gives a row for each batch at most. They are dealt by seed over parts.
-    3. In each part, batches enter a Family: levels of geometric sizes that merge. A scan of
-       each batch against the family finds blocks that stand whole in a smaller document, and
-       seeds that stand in several different bodies (the ends of matches).
+    3. In each part, batches enter a Family: levels of geometric sizes that merge. When all are
+       in, the levels are merged into one, and each batch is looked up in it once, by binary
+       search; no batch is scanned against the levels alive when it enters. As a repeat is one
+       of a smaller doc_id, the rows do not depend on the order of entry. This finds blocks that
+       stand whole in a smaller document, and seeds that stand in several different bodies (the
+       ends of matches).
     4. Facts go back to their batch. Documents without any are done. For the others, the whole
        blocks are marked, and the different bodies under one seed are cut out as contexts.
     5. Contexts are dealt by seed. All windows in them that occur more than once make suffix
