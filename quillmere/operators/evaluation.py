@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Decimal places of scores that decide an order.
+PLACES = 12
+
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -74,16 +78,18 @@ def calibrate(cases: DataFrame, candidates: DataFrame, feedback: DataFrame, grid
     """One row for each configuration, best first (`place` 1).
 
     cases: case_id, expected, forbidden, abstain. candidates: case_id, id, base, model. feedback:
-    memory_id, usefulness. grid: min_score, base_weight, result_limit (a few dozen rows, so it
-    goes to the candidates). A candidate's score is base_weight * base + (1 - base_weight) * model.
+    memory_id, usefulness. grid: min_score, base_weight, result_limit (a few dozen rows). A
+    candidate's score is base_weight * base + (1 - base_weight) * model, to PLACES places; recall
+    and mrr are compared to as many, since the last bits of a mean depend on the order of its sum.
     """
     disliked = feedback.where("usefulness = 'not_useful'").select(F.col("memory_id").alias("id")).distinct().withColumn("_bad", F.lit(True))
-    scored = candidates.crossJoin(F.broadcast(grid)).withColumn("_s", F.col("base_weight") * F.col("base") + (1 - F.col("base_weight")) * F.col("model")).where("_s >= min_score")
+    near = lambda c: F.round(c, PLACES)
+    scored = candidates.crossJoin(grid).withColumn("_s", near(F.col("base_weight") * F.col("base") + (1 - F.col("base_weight")) * F.col("model"))).where("_s >= min_score")
     order = Window.partitionBy("min_score", "base_weight", "result_limit", "case_id").orderBy(F.col("_s").desc(), "id")
     chosen = scored.withColumn("_r", F.row_number().over(order)).where("_r <= result_limit").join(disliked, "id", "left")
     per = chosen.groupBy("min_score", "base_weight", "result_limit", "case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))), lambda x: x["id"]).alias("found"), F.count_if("_bad").alias("_disliked"))
     keys = ["min_score", "base_weight", "result_limit"]
-    all_ = cases.crossJoin(F.broadcast(grid)).join(per, [*keys, "case_id"], "left").withColumn("found", F.coalesce("found", _none()))
+    all_ = cases.crossJoin(grid).join(per, [*keys, "case_id"], "left").withColumn("found", F.coalesce("found", _none()))
     answerable = F.size("expected") > 0
     out = all_.groupBy(*keys).agg(
         F.sum(F.size(F.array_intersect("forbidden", "found"))).alias("false_injections"),
@@ -92,7 +98,7 @@ def calibrate(cases: DataFrame, candidates: DataFrame, feedback: DataFrame, grid
         F.coalesce(F.sum(F.when(answerable, F.size(F.array_intersect("expected", "found")))) / F.sum(F.when(answerable, F.size("expected"))), F.lit(1.0)).alias("recall"),
         F.coalesce(F.avg(F.when(answerable, reciprocal_rank(F.col("expected"), F.col("found")))), F.lit(1.0)).alias("mrr"),
     )
-    best = Window.orderBy("false_injections", "abstention_failures", "disliked_hits", F.col("recall").desc(), F.col("mrr").desc(), F.col("min_score").desc(), "base_weight", "result_limit")
+    best = Window.orderBy("false_injections", "abstention_failures", "disliked_hits", near("recall").desc(), near("mrr").desc(), F.col("min_score").desc(), "base_weight", "result_limit")
     return out.withColumn("place", F.row_number().over(best))  # the grid's rows only
 
 
@@ -119,7 +125,7 @@ def provider_metrics(cases: DataFrame, results: DataFrame) -> DataFrame:
 def regressions(metrics: DataFrame, native: str = "native") -> DataFrame:
     """Providers that pass fewer cases, inject more or fail to abstain more often than the native one."""
     own = metrics.where(F.col("provider") == native).select(F.col("passed").alias("_p"), F.col("false_injection_rate").alias("_f"), F.col("abstention_failure_rate").alias("_a"))
-    rows = metrics.where(F.col("provider") != native).crossJoin(F.broadcast(own))
+    rows = metrics.where(F.col("provider") != native).crossJoin(F.broadcast(own))  # own is one row
     return rows.select("provider", ((F.col("passed") < F.col("_p")) | (F.col("false_injection_rate") > F.col("_f")) | (F.col("abstention_failure_rate") > F.col("_a"))).alias("regressed"))
 
 

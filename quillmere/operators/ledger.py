@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +13,7 @@ STAGES = {
     "support": ("intake", "triage", "query", "hypothesis", "root_cause", "action", "verification", "escalation", "closure", "recurrence"),
     "initiative": ("discovery", "review", "design", "development", "testing", "release", "operations", "incident", "retrospective", "cancelled"),
 }
+#: What an event says, in the order in which it is hashed.
 _INPUT = ("stream_type", "stream_id", "stage", "event_type", "summary", "project_keys", "actor_type", "capture_mode", "parent_event_id", "payload_object")
 EVENT_INPUT = "stream_type string, stream_id string, stage string, event_type string, summary string, project_keys array<string>, actor_type string, capture_mode string, parent_event_id string, payload_object string, idempotency_key string, event_id string, timestamp string"
 RECORD = EVENT_INPUT + ", sequence long, input_hash string, previous_hash string, record_hash string, outcome string"
@@ -26,14 +26,26 @@ def stage_valid(stream_type: Column, stage: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def input_hash(event: dict) -> str:
-    """Hash of what an event says: fixed key order, sorted project keys, absent values as null."""
-    plain = {k: sorted(event[k] or []) if k == "project_keys" else event.get(k) for k in _INPUT}
-    return hashlib.sha256(json.dumps(plain, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+def input_hash() -> Column:
+    """Hash of what an event says: canonical JSON with a fixed key order, sorted project keys, absent values as null."""
+    value = lambda c: F.array_sort(F.coalesce(c, F.array().cast("array<string>"))).alias(c) if c == "project_keys" else F.col(c)
+    return F.sha2(F.to_json(F.struct(*[value(c) for c in _INPUT]), {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
-def record_hash(previous: str | None, sequence: int, event: dict, own: str) -> str:
-    return hashlib.sha256(json.dumps([previous, sequence, event["event_id"], event["timestamp"], own], separators=(",", ":")).encode()).hexdigest()
+#: What stands for a null in a record's hash; no other part begins with a zero character.
+_ABSENT = "\0"
+
+
+def record_hash(previous: str | None, sequence: int, event_id: str | None, timestamp: str | None, own: str) -> str:
+    """Hash of a record: the hash before it, its number, id, time and what it says, one a line."""
+    parts = (previous, str(sequence), event_id, timestamp, own)
+    return hashlib.sha256("\n".join(_ABSENT if p is None else p for p in parts).encode()).hexdigest()
+
+
+def record_hash_of(previous: Column, sequence: Column, event_id: Column, timestamp: Column, own: Column) -> Column:
+    """record_hash() as an expression."""
+    parts = [F.coalesce(c, F.lit(_ABSENT)) for c in (previous, sequence.cast("string"), event_id, timestamp, own)]
+    return F.sha2(F.concat_ws("\n", *parts).cast("binary"), 256)
 
 
 class Chain:
@@ -48,9 +60,9 @@ class Chain:
         return {"last": self.last, "count": self.count, "keys": self.keys, "ids": sorted(self.ids)}
 
     def add(self, event: dict) -> dict:
-        """The record of an event: appended, duplicate (same key, same input), conflict, unknown_parent or invalid_stage."""
-        own = input_hash(event)
-        out = {**event, "input_hash": own, "sequence": None, "previous_hash": None, "record_hash": None}
+        """The record of an event (with its input_hash): appended, duplicate (same key, same input), conflict, unknown_parent, repeated_id or invalid_stage."""
+        own = event["input_hash"]
+        out = {**event, "sequence": None, "previous_hash": None, "record_hash": None}
         key = event.get("idempotency_key")
         if event["stage"] not in STAGES.get(event["stream_type"], ()):
             return {**out, "outcome": "invalid_stage"}
@@ -58,8 +70,10 @@ class Chain:
             return {**out, "outcome": "duplicate" if self.keys[key] == own else "conflict"}
         if event.get("parent_event_id") and event["parent_event_id"] not in self.ids:
             return {**out, "outcome": "unknown_parent"}
+        if event["event_id"] in self.ids:
+            return {**out, "outcome": "repeated_id"}
         out |= {"sequence": self.count + 1, "previous_hash": self.last, "outcome": "appended"}
-        out["record_hash"] = record_hash(self.last, self.count + 1, event, own)
+        out["record_hash"] = record_hash(self.last, self.count + 1, event["event_id"], event["timestamp"], own)
         self.last, self.count = out["record_hash"], self.count + 1
         self.ids.add(event["event_id"])
         if key is not None:
@@ -70,12 +84,14 @@ class Chain:
 def append(ledger: DataFrame | None, events: DataFrame) -> DataFrame:
     """Records of new events (EVENT_INPUT) after those of `ledger`; only outcome 'appended' belongs in it.
 
-    A chain is a sequence, so a stream is one group; streams are spread over tasks, and a
-    stream's known records take part with their keys and hashes only.
+    Events are hashed where they stand. A chain is a sequence, so a stream is one group; of its
+    known records only keys, ids, numbers and hashes take part.
     """
     names = [c.split()[0] for c in EVENT_INPUT.split(", ")]
-    new = events.select(*names, F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("string").alias("input_hash"), F.lit(None).cast("string").alias("record_hash"))
-    both = new if ledger is None else new.unionByName(ledger.select(*names, "sequence", "input_hash", "record_hash"))
+    shape = dict(c.split(" ", 1) for c in EVENT_INPUT.split(", "))
+    new = events.select(*names, F.lit(None).cast("long").alias("sequence"), input_hash().alias("input_hash"), F.lit(None).cast("string").alias("record_hash"))
+    known = ("stream_type", "stream_id", "idempotency_key", "event_id")
+    both = new if ledger is None else new.unionByName(ledger.select(*[F.col(c) if c in known else F.lit(None).cast(shape[c]).alias(c) for c in names], "sequence", "input_hash", "record_hash"))
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         chain, out = Chain(), []
@@ -86,7 +102,7 @@ def append(ledger: DataFrame | None, events: DataFrame) -> DataFrame:
             if r.idempotency_key is not None:
                 chain.keys[r.idempotency_key] = r.input_hash
         for r in group[group["sequence"].isna()].sort_values(["timestamp", "event_id"]).to_dict("records"):
-            event = {k: (list(r[k]) if k == "project_keys" and r[k] is not None else r[k]) for k in names}
+            event = {k: (list(r[k]) if k == "project_keys" and r[k] is not None else r[k]) for k in [*names, "input_hash"]}
             out.append(chain.add(event))
         return pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")])
 
@@ -94,12 +110,25 @@ def append(ledger: DataFrame | None, events: DataFrame) -> DataFrame:
 
 
 def verify(ledger: DataFrame) -> DataFrame:
-    """(stream_type, stream_id, valid, first_bad): sequence without gaps, each previous hash that of the row before, parents earlier."""
-    w = Window.partitionBy("stream_type", "stream_id").orderBy("sequence")
-    parent = ledger.select("stream_type", "stream_id", F.col("event_id").alias("parent_event_id"), F.col("sequence").alias("_ps"))
-    rows = ledger.withColumn("_at", F.row_number().over(w)).withColumn("_before", F.lag("record_hash").over(w)).join(parent, ["stream_type", "stream_id", "parent_event_id"], "left")
-    bad = (F.col("_at") != F.col("sequence")) | ~F.col("_before").eqNullSafe(F.col("previous_hash")) | (F.col("parent_event_id").isNotNull() & (F.col("_ps").isNull() | (F.col("_ps") >= F.col("sequence"))))
-    return rows.groupBy("stream_type", "stream_id").agg((~F.max(bad)).alias("valid"), F.min(F.when(bad, F.col("sequence"))).alias("first_bad"))
+    """(stream_type, stream_id, valid, first_bad): every hash computed again from the record, and the chain checked.
+
+    A record is bad if its number leaves a gap, its stage is none of its kind of stream, its
+    previous hash is not that of the record before, its input hash or record hash is not what
+    its columns give, its event id stands in an earlier record, or its parent does not.
+    """
+    stream = ("stream_type", "stream_id")
+    w = Window.partitionBy(*stream).orderBy("sequence", "event_id")
+    first = ledger.groupBy(*stream, "event_id").agg(F.min("sequence").alias("_first"))
+    parent = first.select(*stream, F.col("event_id").alias("parent_event_id"), F.col("_first").alias("_parent"))
+    rows = ledger.withColumn("_own", input_hash()).join(first, [*stream, "event_id"], "left").join(parent, [*stream, "parent_event_id"], "left")
+    rows = rows.withColumn("_at", F.row_number().over(w)).withColumn("_before", F.lag("record_hash").over(w))
+    whole = record_hash_of(F.col("previous_hash"), F.col("sequence"), F.col("event_id"), F.col("timestamp"), F.col("_own"))
+    tests = (
+        F.col("_at") == F.col("sequence"), stage_valid(F.col("stream_type"), F.col("stage")), F.col("_before").eqNullSafe(F.col("previous_hash")), F.col("_own").eqNullSafe(F.col("input_hash")),
+        whole.eqNullSafe(F.col("record_hash")), F.col("_first") == F.col("sequence"), F.col("parent_event_id").isNull() | F.coalesce(F.col("_parent") < F.col("sequence"), F.lit(False)),
+    )
+    bad = ~F.forall(F.array(*[F.coalesce(t, F.lit(False)) for t in tests]), lambda t: t)
+    return rows.groupBy(*stream).agg((~F.max(bad)).alias("valid"), F.min(F.when(bad, F.col("_at"))).cast("long").alias("first_bad"))
 
 
 def stream_summary(ledger: DataFrame) -> DataFrame:

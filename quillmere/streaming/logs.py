@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from quillmere.operators.ledger import EVENT_INPUT, RECORD, Chain
+from quillmere.operators.ledger import EVENT_INPUT, RECORD, Chain, input_hash
 
 
 def read_log(spark: SparkSession, folder: str, schema: StructType, max_files: int = 1000) -> DataFrame:
@@ -75,12 +75,12 @@ def chained(events: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in EVENT_INPUT.split(", ")]
         out = []
         for r in pd.concat(list(parts)).sort_values(["timestamp", "event_id"]).to_dict("records"):
-            event = {k: (list(r[k]) if k == "project_keys" and r[k] is not None else r[k]) for k in names}
+            event = {k: (list(r[k]) if k == "project_keys" and r[k] is not None else r[k]) for k in [*names, "input_hash"]}
             out.append(chain.add(event))
         state.update((json.dumps(chain.dump()),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")])
 
-    return events.groupBy("stream_type", "stream_id").applyInPandasWithState(work, RECORD, "chain string", "append", GroupStateTimeout.NoTimeout)
+    return events.withColumn("input_hash", input_hash()).groupBy("stream_type", "stream_id").applyInPandasWithState(work, RECORD, "chain string", "append", GroupStateTimeout.NoTimeout)
 
 
 def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
