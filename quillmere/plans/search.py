@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,22 +10,27 @@ from pyspark.sql import functions as F
 
 from quillmere.functions import access, scores, text
 from quillmere.operators import embeddings, packet
-from quillmere.operators.index import Index
-from quillmere.operators.retrieval import dense_candidates
-
-#: Runs of blanks and ASCII marks that no token holds.
-_APART = re.compile(r"[\s.,;:!?()\"'\[\]{}<>]+")
+from quillmere.operators.index import Index, Substrings
+from quillmere.operators.retrieval import dense_candidates, packed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, id, relevance) of every passage's tokens against every document."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.query_tokens(F.col("text"))).alias("phrase"))
-    return Index.build(docs, {"body": F.col("text")}).bm25(asked).withColumn("score", F.round("relevance", 6))
+def _index(spark: SparkSession, sf_dir: str) -> Index:
+    """The kept index of the documents' texts."""
+    docs = table(spark, sf_dir, "documents")
+    return Index.of_table(docs, "texts", {"body": F.col("text")}, "doc_id", evidence=F.lower("text"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.query_tokens(F.col("text"))).alias("phrase"))
+
+
+def _hits(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """(query_id, id, relevance, score) of every passage's tokens against every document, or of its best ones."""
+    return _index(spark, sf_dir).bm25(_asked(spark, sf_dir), most=most).withColumn("score", F.round("relevance", 6))
 
 
 _HITS = r"""
@@ -47,15 +51,15 @@ hits AS (
 """
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     """_hits() with the place of every hit among its passage's."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return _hits(spark, sf_dir).withColumn("rank", F.row_number().over(order))
+    return _hits(spark, sf_dir, most).withColumn("rank", F.row_number().over(order))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The k best documents of each passage."""
-    return _ranked(spark, sf_dir).where(F.col("rank") <= k).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    return _ranked(spark, sf_dir, k).where(F.col("rank") <= k).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 BM25_TOPK = f"WITH {_HITS} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 5"
@@ -72,12 +76,12 @@ BM25_NORMALISED = f"WITH {_HITS} SELECT item_id, count(*) AS hits, round(sum(r),
 
 
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of each passage that hold at least two of its tokens as substrings."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.struct(F.col("text").alias("task"), F.array().cast("array<string>").alias("domains"), F.array().cast("array<string>").alias("scenarios")).alias("q"), text.query_tokens(F.col("text")).alias("_tokens"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("_hay"))
-    rows = _hits(spark, sf_dir).select("query_id", "id").join(F.broadcast(asked), "query_id").join(docs, "id")  # asked: a fixed set of passages
-    ok = access.lexical_evidence("q", F.col("_tokens"), F.array().cast("array<string>"), F.col("_hay"))
-    return rows.groupBy(F.col("query_id").alias("item_id")).agg(F.count(F.lit(1)).alias("hits"), F.count_if(ok).alias("passed"))
+    """Hits of each passage, and those that hold at least two of its tokens as substrings."""
+    index, asked, tokens = _index(spark, sf_dir), _asked(spark, sf_dir), text.query_tokens(F.col("text"))
+    gate = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.size(tokens) <= 4).alias("free"), F.col("text").alias("task"), tokens.alias("tokens"))
+    count = lambda rows, name: rows.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    both = count(index.bm25(asked), "hits").join(count(index.bm25(asked, gate=gate), "passed"), "query_id", "left")
+    return both.select(F.col("query_id").alias("item_id"), "hits", F.coalesce("passed", F.lit(0)).alias("passed"))
 
 
 EVIDENCE_GATE = f"""
@@ -132,12 +136,12 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
 
 HYBRID_RRF = f"""
 WITH {_HITS},
-lex AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM hits QUALIFY r <= 20),
+lex AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM hits),
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 den0 AS (SELECT b.item_id, c.vec_id AS doc_id, list_cosine_similarity(q.e, c.e) AS c FROM benchmark b JOIN v q ON q.vec_id = b.item_id CROSS JOIN v c WHERE c.vec_id IN (SELECT doc_id FROM documents)),
 den AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY c DESC, doc_id) AS r FROM den0 WHERE c > 0 QUALIFY r <= 20),
 f AS (SELECT coalesce(lex.item_id, den.item_id) AS item_id, coalesce(lex.doc_id, den.doc_id) AS doc_id,
-             round(least(1.0, (coalesce(1.0 / (60 + lex.r), 0.0) + coalesce(1.0 / (60 + den.r), 0.0)) / (3.0 / 61)), 6) AS rrf
+             round(least(1.0, (coalesce(1.0::DOUBLE / (60 + lex.r), 0.0) + coalesce(1.0::DOUBLE / (60 + den.r), 0.0)) / (3.0::DOUBLE / 61)), 6) AS rrf
       FROM lex FULL JOIN den ON lex.item_id = den.item_id AND lex.doc_id = den.doc_id)
 SELECT item_id, doc_id, rrf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS rank FROM f) WHERE rank <= 5
 """
@@ -211,42 +215,30 @@ SELECT * FROM d WHERE visibility = 'team' OR (visibility = 'project' AND (doc_id
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, doc_id) of every document that holds at least half of a passage's tokens as substrings.
 
-    Tokens hold no blanks and no marks but `_`, `/` and `-`, so each stands inside one word of a
-    document. The tokens that a word holds are a bit set, kept for words met before; a document's
-    set is held against those of all passages, a fixed table that goes to the tasks.
+    Passages and documents meet in packed blocks; a document's set of tokens is a bit set, held
+    against those of all passages of a block.
     """
-    asked = [(r.item_id, r._t) for r in table(spark, sf_dir, "benchmark").select("item_id", text.query_tokens(F.col("text")).alias("_t")).collect() if r._t]
-    number = {t: n for n, t in enumerate(sorted({t for _, tokens in asked for t in tokens}))}
-    lengths = sorted({len(t) for t in number})
-    wanted = [(item, sum(1 << number[t] for t in tokens), len(tokens)) for item, tokens in asked]
+    asked = table(spark, sf_dir, "benchmark").select("item_id", text.query_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("hay"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            items, docs = [], []
-            for doc, hay in zip(batch["doc_id"].to_pylist(), batch["_hay"].to_pylist(), strict=True):
-                held = 0
-                for word in set(_APART.split(hay or "")):
-                    bits = known.get(word)
-                    if bits is None:
-                        if len(word) <= 64:
-                            inside = {part for n in lengths for at in range(len(word) - n + 1) if (part := word[at : at + n]) in number}
-                        else:
-                            inside = {t for t in number if t in word}
-                        bits = sum(1 << number[t] for t in inside)
-                        if len(known) >= 200_000:
-                            known.clear()
-                        if len(word) <= 64:
-                            known[word] = bits
-                    held |= bits
-                for item, own, size in wanted:
-                    if (own & held).bit_count() * 2 >= size:
-                        items.append(item)
-                        docs.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(docs, pa.int64())], names=["item_id", "doc_id"])
-
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("_hay"))
-    return docs.mapInArrow(judged, "item_id long, doc_id long")
+        seen = tokens = wanted = None
+        for rb in batches:
+            for r in range(len(rb)):
+                passages = rb.column(0)[r].as_py()
+                if passages != seen:
+                    seen, tokens = passages, Substrings({t for p in passages for t in p["tokens"]})
+                    wanted = [(p["item_id"], tokens.of(p["tokens"]), len(p["tokens"])) for p in passages]
+                items, docs = [], []
+                for doc in rb.column(1)[r].as_py():
+                    held = tokens.held(doc["hay"])
+                    good = [item for item, own, size in wanted if (own & held).bit_count() * 2 >= size]
+                    items += good
+                    docs += [doc["doc_id"]] * len(good)
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(docs, pa.int64())], names=["item_id", "doc_id"])
+
+    met = packed(asked, "item_id", "passages", ("tokens",), 256).crossJoin(packed(docs, "doc_id", "rows", ("hay",), 256))
+    return met.mapInArrow(judged, "item_id long, doc_id long")
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,12 +263,13 @@ EVAL_METRICS = f"""
 WITH {_HITS},
 top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hits QUALIFY rank <= 5),
 ql AS (SELECT item_id, list(raw) AS l FROM qt GROUP BY item_id),
-g AS (SELECT top.item_id, top.doc_id, rank, len(list_filter(l, lambda x: contains(lower(d.text), x))) * 2 >= len(l) AS good FROM top JOIN ql USING (item_id) JOIN documents d USING (doc_id)),
-a AS (SELECT item_id, count(*) FILTER (good) AS relevant, count(*) FILTER (good AND rank <= 1) AS h1, count(*) FILTER (good AND rank <= 3) AS h3, min(rank) FILTER (good) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (good), 0) AS dcg FROM g GROUP BY item_id),
+good AS (SELECT item_id, doc_id FROM ql CROSS JOIN documents d WHERE len(list_filter(l, lambda x: contains(lower(d.text), x))) * 2 >= len(l)),
+a AS (SELECT ql.item_id, count(g.doc_id) AS relevant, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 3) AS h3, min(rank) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (rank IS NOT NULL), 0) AS dcg
+      FROM ql LEFT JOIN good g USING (item_id) LEFT JOIN top ON top.item_id = g.item_id AND top.doc_id = g.doc_id GROUP BY ql.item_id),
 i AS (SELECT n, sum(1 / log2(k + 1)) AS ideal FROM (SELECT unnest([1, 2, 3, 4, 5]) AS n) JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) ON k <= n GROUP BY n)
 SELECT item_id, CAST(relevant AS INTEGER) AS relevant, CASE WHEN relevant = 0 THEN 1.0 ELSE round(h1 / relevant, 6) END AS recall_1, CASE WHEN relevant = 0 THEN 1.0 ELSE round(h3 / relevant, 6) END AS recall_3,
-       CASE WHEN relevant = 0 THEN 1.0 ELSE round(1.0 / first, 6) END AS reciprocal_rank, CASE WHEN relevant = 0 THEN 1.0 ELSE round(dcg / ideal, 6) END AS ndcg_5
-FROM a LEFT JOIN i ON i.n = a.relevant
+       CASE WHEN relevant = 0 THEN 1.0 ELSE round(coalesce(1.0::DOUBLE / first, 0.0), 6) END AS reciprocal_rank, CASE WHEN relevant = 0 THEN 1.0 ELSE round(dcg / ideal, 6) END AS ndcg_5
+FROM a LEFT JOIN i ON i.n = least(a.relevant, 5)
 """
 
 
