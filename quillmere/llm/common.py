@@ -10,9 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.storage import discard, release, settle, shared_dir
+from quillmere.storage import discard, settle, shared_dir
 
-__all__ = ["discard", "release", "settle", "shared_dir"]
+__all__ = ["discard", "settle", "shared_dir"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

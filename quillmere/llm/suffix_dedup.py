@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import discard, mix64, prefix_sums, release, settle, slices, span_hashes, utf8
+from quillmere.llm.common import discard, mix64, prefix_sums, settle, slices, span_hashes, utf8
 
 #: Bytes of the seed at a block's anchor.
 SEED = 20
@@ -89,10 +89,13 @@ def _pieces(offsets: np.ndarray, span: int, limit: int = 1 << 20) -> Iterator[tu
 
 @dataclass
 class Level:
-    """Sorted distinct keys and the smallest document of each."""
+    """Sorted distinct keys; for each the smallest document that any batch met so far has it in, and
+    whether its first key stands with another second key somewhere. place: entry of each row it was made of."""
 
     keys: tuple[np.ndarray, ...]
     doc: np.ndarray
+    mixed: np.ndarray
+    place: np.ndarray
 
     def __len__(self) -> int:
         return len(self.doc)
@@ -115,6 +118,23 @@ class Level:
         at = np.minimum(low, len(self) - 1)
         return at, self.keys[0][at] == keys[0]
 
+    def meet(self, batch: Level) -> None:
+        """Merge-scan a new batch against this level: keys of both get the smaller document on both sides,
+        and first keys that now have several second ones are marked on both sides."""
+        at, hit = self.find(batch.keys)
+        least = np.minimum(batch.doc[hit], self.doc[at[hit]])
+        batch.doc[hit] = self.doc[at[hit]] = least
+        if len(self.keys) < 2 or not len(batch) or not len(self):
+            return
+        first = batch.keys[0]
+        starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        own = np.diff(np.append(starts, len(first)))
+        low, high = np.searchsorted(self.keys[0], first[starts], "left"), np.searchsorted(self.keys[0], first[starts], "right")
+        several = (high > low) & (own + high - low - np.add.reduceat(hit.astype(np.int64), starts) > 1)
+        batch.mixed |= np.repeat(several, own)
+        low, size = low[several], (high - low)[several]
+        self.mixed[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())] = True
+
 
 def _runs(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts by `keys` (first key first) and the places in it where a new key starts."""
@@ -133,43 +153,65 @@ def _runs(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def suffix_array(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> Level:
+def suffix_array(keys: tuple[np.ndarray, ...], doc: np.ndarray, mixed: np.ndarray | None = None) -> Level:
     """A batch's suffixes in sorted order, equal ones as one entry with the smallest document."""
     order, starts = _runs(keys)
-    return Level(tuple(k[order[starts]] for k in keys), np.minimum.reduceat(doc[order], starts) if len(doc) else doc)
+    place = np.empty(len(doc), np.int32)
+    place[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(doc))))
+    sorted_ = tuple(k[order[starts]] for k in keys)
+    flags = np.zeros(len(starts), bool) if mixed is None or not len(doc) else np.maximum.reduceat(mixed[order], starts)
+    if len(keys) > 1 and len(starts):
+        same = sorted_[0][1:] == sorted_[0][:-1]
+        flags[1:] |= same
+        flags[:-1] |= same
+    return Level(sorted_, np.minimum.reduceat(doc[order], starts) if len(doc) else doc, flags, place)
 
 
 class Family:
-    """Sorted levels of geometric sizes: a new batch becomes a level, and levels of about the same size merge.
-
-    Of n batches at most log2(n) + 1 levels are alive, and an entry takes part in at most that
-    many merges.
+    """Sorted levels of geometric sizes: a new batch is scanned against the levels alive, becomes a
+    level, and levels of about the same size merge.
+
+    As every batch meets all that came before it, each entry knows the smallest document of its
+    key over all batches once the last one is in; the order in which batches come does not
+    matter. Of n batches at most log2(n) + 1 levels are alive, and an entry takes part in at
+    most that many merges. Where a batch's entries went is kept through the merges, so nothing is
+    searched again at the end.
     """
 
     def __init__(self):
-        self.levels: list[Level] = []
-
-    def insert(self, batch: Level) -> None:
-        while self.levels and len(self.levels[-1]) < 2 * len(batch):
-            other = self.levels.pop()
-            batch = suffix_array(tuple(np.concatenate([a, b]) for a, b in zip(other.keys, batch.keys, strict=True)), np.concatenate([other.doc, batch.doc]))
-        self.levels.append(batch)
+        self.levels: list[tuple[Level, list[int]]] = []
+        self.where: list[tuple[Level, np.ndarray]] = []
+
+    def insert(self, batch: Level) -> int:
+        """Take in a batch; its number, for answers()."""
+        for level, _ in self.levels:
+            level.meet(batch)
+        number, members = len(self.where), [len(self.where)]
+        self.where.append((batch, batch.place))
+        while self.levels and len(self.levels[-1][0]) < 2 * len(batch):
+            other, theirs = self.levels.pop()
+            merged = suffix_array(tuple(np.concatenate([a, b]) for a, b in zip(other.keys, batch.keys, strict=True)), np.concatenate([other.doc, batch.doc]), np.concatenate([other.mixed, batch.mixed]))
+            for k in theirs:
+                self.where[k] = merged, merged.place[: len(other)][self.where[k][1]]
+            for k in members:
+                self.where[k] = merged, merged.place[len(other) :][self.where[k][1]]
+            batch, members = merged, theirs + members
+        self.levels.append((batch, members))
+        return number
+
+    def answers(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """(smallest document, whether its first key has other second keys) for the rows of a batch, over all batches."""
+        level, at = self.where[number]
+        return level.doc[at], level.mixed[at]
 
     def scan(self, keys: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Smallest document of each key over all levels (the largest possible number if there is none)."""
+        """Smallest document of any keys over all levels (the largest possible number if there is none)."""
         out = np.full(len(keys[0]), _LAST, np.int64)
-        for level in self.levels:
+        for level, _ in self.levels:
             at, hit = level.find(keys)
             out[hit] = np.minimum(out[hit], level.doc[at[hit]])
         return out
 
-    def whole(self) -> Level:
-        """All levels as one."""
-        levels = self.levels
-        if not levels:
-            return Level((np.zeros(0, np.uint64), np.zeros(0, np.uint64)), np.zeros(0, np.int64))
-        return suffix_array(tuple(np.concatenate(k) for k in zip(*(x.keys for x in levels), strict=True)), np.concatenate([x.doc for x in levels]))
-
 
 # --------------------------------------------------------------------------- packing of rows
 
@@ -235,12 +277,10 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
     2. Each batch's anchored suffixes are sorted: by seed, then by body (the block's bytes).
        Entries equal within a batch are one, with the smallest document, so a passage however
        common gives a row for each batch at most. They are dealt by seed over parts.
-    3. In each part, batches enter a Family: levels of geometric sizes that merge. When all are
-       in, the levels are merged into one, and each batch is looked up in it once, by binary
-       search; no batch is scanned against the levels alive when it enters. As a repeat is one
-       of a smaller doc_id, the rows do not depend on the order of entry. This finds blocks that
-       stand whole in a smaller document, and seeds that stand in several different bodies (the
-       ends of matches).
+    3. In each part, batches enter a Family one by one: a batch is merge-scanned against every
+       level alive, which settles the smaller document on both sides of each match, becomes a
+       level, and levels of about the same size merge. This finds blocks that stand whole in a
+       smaller document, and seeds that stand in several different bodies (the ends of matches).
     4. Facts go back to their batch. Documents without any are done. For the others, the whole
        blocks are marked, and the different bodies under one seed are cut out as contexts.
     5. Contexts are dealt by seed. All windows in them that occur more than once make suffix
@@ -248,8 +288,10 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
        smaller document has is marked.
     6. Marked bytes are taken out.
 
-    No pairs of occurrences are ever made. Seeds and bodies are told apart by 40 and 48 bits of
-    hash besides the part's number; windows at the ends of matches by their bytes.
+    No pairs of occurrences are ever made. Suffixes are in the order of a hash of their first
+    bytes, as only equal ones matter. A seed and a body together are told apart by 88 bits of
+    hash besides the part's number (10^12 blocks have a chance of about 10^-3 that any two are
+    taken for one); windows at the ends of matches are compared byte by byte.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256. With `carry` (names of columns of
     `docs`, none or more) it also returns kept_text (the remaining bytes as text, without
@@ -345,18 +387,10 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
             for _, blob in held:
                 seed, body, doc, _ = _unpack_batch(blob)
                 family.insert(suffix_array((seed, body), doc))
-            every = family.whole()
-            family.levels = [every]
-            new = np.ones(len(every), bool)
-            new[1:] = every.keys[0][1:] != every.keys[0][:-1]
-            starts = np.flatnonzero(new)
-            several = every.keys[0][starts][np.diff(np.append(starts, len(every))) > 1]
             labels, blobs = [], []
-            for label, blob in held:
+            for number, (label, blob) in enumerate(held):
                 seed, body, doc, many = _unpack_batch(blob)
-                least = family.scan((seed, body))
-                at = np.minimum(np.searchsorted(several, seed), max(len(several) - 1, 0))
-                mixed = (several[at] == seed) if len(several) else np.zeros(len(seed), bool)
+                least, mixed = family.answers(number)
                 ask = mixed & (doc == least)
                 keep_it = ask | many | (least < doc)
                 if keep_it.any():
@@ -376,7 +410,6 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
 
     blobs = ranked.select("batch", "text", "rank").mapInArrow(index, "part int, batch long, rows binary")
     facts = settle(blobs.repartition("part").sortWithinPartitions("part", "batch").mapInArrow(match, "batch long, facts binary"), "facts")
-    release(spark)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by batch, facts first; texts are then worked on in slices."""
@@ -461,7 +494,6 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
     marked = settle(marked, "marked")
     discard(texts)
     discard(facts)
-    release(spark)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by part; one part's contexts are held at a time."""
@@ -497,12 +529,10 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
                 suffix[:, :span] = data[start[pick][:, None] + np.arange(span)]
                 suffix = suffix.reshape(-1).view(f"S{span + 1}")
                 owner = context[pick]
-                if len(pick):
-                    family.insert(suffix_array((suffix,), doc[owner]))
-                asked.append((suffix, row[owner], first[owner] + inner[pick], doc[owner]))
+                asked.append((family.insert(suffix_array((suffix,), doc[owner])) if len(pick) else None, row[owner], first[owner] + inner[pick], doc[owner]))
             rows, starts_at = [], []
-            for suffix, row, first, doc in asked:
-                hit = family.scan((suffix,)) < doc if len(suffix) else np.zeros(0, bool)
+            for number, row, first, doc in asked:
+                hit = family.answers(number)[0] < doc if number is not None else np.zeros(0, bool)
                 rows.append(row[hit])
                 starts_at.append(first[hit])
             row, first = np.concatenate(rows), np.concatenate(starts_at)
