@@ -15,6 +15,8 @@ from quillmere.llm.common import mix64
 _PRIME = (1 << 31) - 1
 _BASES = (1_000_003, 1_442_695_041)
 _SHIFT, _MASK = np.uint64(31), np.uint64(_PRIME)
+#: Code points of a whole window.
+WIDTH = 12
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -69,10 +71,12 @@ class PrefixHashes:
         return out
 
     def windows(self, width: int) -> np.ndarray:
-        """Hashes of all spans of `width` code points."""
-        m = self.n - width + 1
-        low, high = (_fold(_fold(s[width:] - s[:m]) * t[:m]) for s, t in zip(self.prefix, self.inverse, strict=True))
-        return (low << _SHIFT) | high
+        """Hashes of the spans that end at each code point and reach back `width` code points, or to the start."""
+        head, m = min(width - 1, self.n), max(0, self.n - width + 1)
+        parts = []
+        for s, t in zip(self.prefix, self.inverse, strict=True):
+            parts.append(np.concatenate([_fold(s[1 : head + 1]), _fold(_fold(s[self.n - m + 1 :] - s[:m]) * t[:m])]))
+        return (parts[0] << _SHIFT) | parts[1]
 
     def common_extension(self, other: PrefixHashes, here: int = 0, there: int = 0) -> int:
         """Length of the longest common extension from two places, by binary search over span equality."""
@@ -89,14 +93,15 @@ class PrefixHashes:
 class Fingerprint:
     """Length, hash of the whole text and the `size` smallest scrambled hashes of its windows.
 
-    Windows have 12 code points, 4 in a text of fewer than 24, and a text of fewer than 4 is one
-    window. The text form is n, the whole hash and the sketch, in hexadecimal digits.
+    A window ends at each code point and reaches back WIDTH code points, or to the start of the
+    text where that is nearer. So a text of n code points has n windows, whatever n is, and
+    texts of about the same length are compared by the same rule. The text form is n, the whole
+    hash and the sketch, in hexadecimal digits.
     """
 
     def __init__(self, text: str, size: int = 64):
         self.hashes = own = PrefixHashes(text)
-        width = 12 if own.n >= 24 else min(4, own.n)
-        values = mix64(own.windows(width)) >> np.uint64(16) if own.n else np.zeros(0, np.uint64)
+        values = mix64(own.windows(WIDTH)) >> np.uint64(16)
         few = np.unique(np.partition(values, 4 * size)[: 4 * size]) if len(values) > 4 * size else np.unique(values)
         if len(few) < size and len(values) > 4 * size:
             few = np.unique(values)
