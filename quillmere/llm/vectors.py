@@ -131,11 +131,13 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, width: float = 3.0,
     a row of a table: a task gives k rows for each query.
 
     Rows with a null vec_id, and vectors null, zero, holding null or non-finite components or
-    of another length than most, take no part. A query's own row is every row with its vec_id.
-    Fewer candidates than k give fewer rows. An empty table gives no rows. Other columns are
+    of another length than most, take no part. vec_id names a row: rows that share one count as
+    one row with the smallest vector (first component first), a query if one of them is; they
+    are put together before vectors are dealt out. Fewer candidates than k give fewer rows. An empty table gives no rows. Other columns are
     not read.
     """
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     stats = {r[0]: (r[1], r[2]) for r in rows.groupBy(F.size("v")).agg(F.count(F.lit(1)), F.count_if("q")).collect()}  # one row for each length
     dim = max(stats, key=lambda d: (stats[d][0], d), default=1)
     n, n_queries = stats.get(dim, (0, 0))
