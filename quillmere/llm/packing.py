@@ -73,7 +73,7 @@ def pack_lengths(lengths: list[int], capacity: int = 2048, fragment: int = 512)
 
     Items are cut into full windows; what is left of each is cut into fragments and spread
     over windows by differencing. The number of windows starts at the least that could hold
-    them and rises whenever a window exceeds its capacity.
+    them and rises by one whenever a window exceeds its capacity, for groups of every size.
     """
     pieces, rest, sequence = [], [], 0
     for item, length in enumerate(lengths):
@@ -84,8 +84,6 @@ def pack_lengths(lengths: list[int], capacity: int = 2048, fragment: int = 512)
         rest += [(item, at, min(fragment, length - at)) for at in range(full * capacity, length, fragment)]
     sizes = [r[2] for r in rest]
     windows = -(-sum(sizes) // capacity)
-    if windows > 32:  # so many are never filled to the last id; half a percent of room spares vain attempts
-        windows = -(-sum(sizes) // (capacity - capacity // 200))
     while sizes:
         chosen = differencing(sizes, windows)
         if np.bincount(chosen, weights=sizes, minlength=windows).max() <= capacity:
@@ -98,7 +96,7 @@ def pack_lengths(lengths: list[int], capacity: int = 2048, fragment: int = 512)
                     pieces.append((item, start, length, sequence + w, filled[w]))
                 filled[w] += length
             break
-        windows += max(1, windows // 256)
+        windows += 1
     return pieces
 
 
