@@ -89,25 +89,34 @@ def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
     return results.join(calls.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
 
 
+def orphan_rows(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """orphans() in the columns of link(), with the status `orphan`."""
+    none = lambda kind: F.lit(None).cast(kind)
+    message = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"), "turn"))
+    return orphans(calls, results).select("conv_id", "turn", none("int").alias("level"), none("int").alias("call_index"), "call_id", none("string").alias("name"), F.lit(False).alias("linked"), F.lit("orphan").alias("status"), F.array().cast("array<string>").alias("errors"), message.alias("message"))
+
+
 def _levels(edges: DataFrame) -> DataFrame:
-    """Longest chain of dependencies below each call (conv_id, call_id, _level); -1 in a circle."""
-    left = settle(edges, "edges")
-    done = left.select("conv_id", "call_id", F.lit(0).alias("_level")).where(F.lit(False))
-    if left.isEmpty():
-        return done
-    depth, count = 0, left.count()
+    """Longest chain of dependencies below each call (conv_id, call_id, _level); -1 in a circle.
+
+    Calls whose dependencies are all placed are taken out level by level: as many rounds as the
+    longest chain within one turn, which one message bounds. A round's edges are deleted when
+    the next ones are written.
+    """
+    done = edges.select("conv_id", "call_id", F.lit(0).alias("_level")).where(F.lit(False))
+    left, depth = settle(edges, "edges"), 0
+    count = left.count()
     while count:
         depth += 1
         blocked = left.select("conv_id", F.col("call_id").alias("_dep")).distinct()
         kept = settle(left.join(blocked, ["conv_id", "_dep"], "left_semi"), "edges")
-        free = left.join(blocked, ["conv_id", "_dep"], "left_anti").select("conv_id", "call_id", F.lit(depth).alias("_level"))
-        done = done.unionByName(free.distinct())
         now = kept.count()
-        if now == count:
-            discard(kept)
-            done = done.unionByName(left.select("conv_id", "call_id", F.lit(-1).alias("_level")).distinct())
-            break
-        left, count = kept, now
+        circle = now == count
+        placed = left if circle else left.join(blocked, ["conv_id", "_dep"], "left_anti")
+        done = done.unionByName(settle(placed.select("conv_id", "call_id", F.lit(-1 if circle else depth).alias("_level")).distinct(), "levels"))
+        discard(left)
+        left, count = kept, 0 if circle else now
+    discard(left)
     worst = F.when(F.min("_level") < 0, F.lit(-1)).otherwise(F.max("_level"))
     return done.groupBy("conv_id", "call_id").agg(worst.alias("_level"))
 
@@ -126,23 +135,49 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
-#: Tools that plain chats are written with: a user's turn calls reply, a system turn configure.
-CHAT_TOOLS: Schemas = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}, "configure": {"prompt": ("string", True)}}
+#: Tools that plain chats are written with.
+CHAT_TOOLS: Schemas = {"read": {"text": ("string", True), "turn": ("integer", True)}, "count": {"words": ("integer", True), "limit": ("integer", True)}, "reply": {"prompt": ("string", True), "turn": ("integer", True)}, "configure": {"prompt": ("string", True)}}
 
 
 def from_chat(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain chats (conv_id, turn, role, text).
 
-    Every user turn is a call of `reply` with the text and turn, every system turn one of
-    `configure`; an id is "conversation:turn". An assistant's turn is the result of the turn
-    before it. A user's turn depends on the system's or user's turn two turns earlier, or one
-    turn earlier if that is a system turn (turn 0).
+    A system's turn is a call of `configure`. A user's turn is three calls: `read` (its text),
+    which depends on the `reply` two turns earlier, or on `configure` in turn 1; `count` (its
+    words, and half of them as a limit), which depends on `read`; and `reply`, which depends on
+    both. An id is "conversation:turn:tool". An assistant's turn is the result of the `reply` or
+    `configure` of the turn before it, and its first line that of its `read`.
     """
-    key = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
-    turn = F.col("turn")
-    asked = messages.where(F.col("role").isin("user", "system"))
-    arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), F.when(F.col("role") == "user", turn).alias("turn")))
-    depends = F.when((F.col("role") == "user") & (turn >= 2), F.array(key(turn - 2)))
-    calls = asked.select("conv_id", "turn", F.lit(0).alias("call_index"), key(turn).alias("call_id"), F.when(F.col("role") == "user", "reply").otherwise("configure").alias("name"), arguments.alias("arguments"), depends.alias("depends"))
-    results = messages.where("role = 'assistant'").select("conv_id", "turn", key(turn - 1).alias("call_id"), F.col("text").alias("content"))
-    return calls, results
+    key = lambda turn, tool: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"), F.lit(f":{tool}"))
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    half = F.concat(F.floor(words / 2).cast("string"), F.when(words % 2 == 0, "").otherwise(".5"))
+    none = F.array().cast("array<string>")
+    call = lambda at, tool, arguments, depends: F.struct(F.lit(at).alias("call_index"), key(turn, tool).alias("call_id"), F.lit(tool).alias("name"), arguments.alias("arguments"), depends.alias("depends"))
+    earlier = F.when(turn >= 2, F.array(key(turn - 2, "reply"))).when(turn == 1, F.array(key(turn - 1, "configure"))).otherwise(none)
+    user = F.array(
+        call(0, "read", F.to_json(F.struct(text.alias("text"), turn)), earlier),
+        call(1, "count", F.concat(F.lit('{"limit":'), half, F.lit(',"words":'), words.cast("string"), F.lit("}")), F.array(key(turn, "read"))),
+        call(2, "reply", F.to_json(F.struct(text.alias("prompt"), turn)), F.array(key(turn, "read"), key(turn, "count"))),
+    )
+    system = F.array(call(0, "configure", F.to_json(F.struct(text.alias("prompt"))), none))
+    made = messages.where(F.col("role").isin("user", "system")).select("conv_id", "turn", F.explode(F.when(F.col("role") == "user", user).otherwise(system)).alias("_c"))
+    # which tool an answer belongs to is known by the calls there are, so it is offered to each
+    answer = lambda tool, content: F.struct(key(turn - 1, tool).alias("call_id"), content.alias("content"))
+    offered = F.array(answer("configure", F.col("text")), answer("read", F.split("text", "\n")[0]), answer("reply", F.col("text")))
+    results = messages.where("role = 'assistant'").select("conv_id", "turn", F.explode(offered).alias("_r")).select("conv_id", "turn", "_r.call_id", "_r.content")
+    results = results.where(~F.endswith("call_id", F.lit(":read")) | F.col("content").isNotNull())
+    # of the three, those of the other kind of turn are no orphans if the turn has calls at all
+    asked = messages.where(F.col("role").isin("user", "system")).groupBy("conv_id", (turn + 1).alias("turn")).agg(F.max(F.col("role") == "user").alias("_user"), F.max(F.col("role") == "system").alias("_system"))
+    fits = F.coalesce(F.when(F.endswith("call_id", F.lit(":configure")), F.col("_system")).otherwise(F.col("_user")), F.lit(True))
+    results = results.join(asked, ["conv_id", "turn"], "left").where(fits).select("conv_id", "turn", "call_id", "content")
+    return made.select("conv_id", "turn", "_c.*"), results
+
+
+def all_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results that messages hold as JSON, and those that from_chat() makes of all other messages."""
+    is_call = (F.col("role") == "assistant") & F.get_json_object("text", "$.tool_calls").isNotNull()
+    is_result = (F.col("role") == "tool") & F.get_json_object("text", "$.tool_call_id").isNotNull()
+    plain = messages.where(~F.coalesce(is_call | is_result, F.lit(False)))
+    (a, b), (c, d) = from_messages(messages), from_chat(plain)
+    return a.unionByName(c.select(*a.columns)), b.unionByName(d)

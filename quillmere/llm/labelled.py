@@ -11,16 +11,23 @@ def text_key(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], most_rows: int, most_chars: int) -> list[tuple[int, str, int]]:
-    """(doc_id, text, label) of at most `most_rows` labelled documents, the first in the order of md5(doc_id).
+def sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], most_rows: int, most_bytes: int) -> list[tuple[int, str, int]]:
+    """(doc_id, text, label) of labelled documents, whole texts, in the order of md5(doc_id).
 
-    fold = (m, r): documents whose text_key mod m is r are never learned from. Null labels and
-    doc_ids are left out, a doc_id with several labels takes the largest, and texts longer than
-    `most_chars` are not learned from (they are scored whole like all others).
+    The first `most_rows` labelled documents are drawn; of those, texts are learned from until
+    they hold `most_bytes` of UTF-8 together, which bounds the driver's memory. fold = (m, r):
+    documents whose text_key mod m is r are never learned from. Null labels and doc_ids are left
+    out, and a doc_id with several labels takes the largest.
     """
     m, r = fold
+    digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(text_key(F.col("doc_id")) % m != r).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
-    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most_rows)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label")
-    found = rows.toArrow()
-    return sorted(zip(*(found.column(k).to_pylist() for k in range(3)), strict=True))
+    chosen = known.orderBy(digest, "doc_id").limit(most_rows)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label")
+    found, held = [], 0
+    for row in rows.orderBy(digest, "doc_id", "text").toLocalIterator():
+        held += len(row.text.encode("utf-8", "surrogatepass"))
+        if held > most_bytes:
+            break
+        found.append((row.doc_id, row.text, row._label))
+    return sorted(found)

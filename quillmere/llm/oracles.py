@@ -5,21 +5,24 @@ _WORD = r"[^\x20\x09-\x0D]+"
 MIXING = rf"""
 WITH rows AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS k FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
-w AS (SELECT source, source_size, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM src),
+w AS (SELECT source, source_size, [2.0, 1.0, 0.5][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS tilt, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM src),
 r AS (SELECT *, 2.0::DOUBLE * source_size AS stop, 2.0::DOUBLE * source_size / weight AS ratio FROM w),
 lev AS (
   SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM src) - coalesce(sum(stop) OVER f, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER f, 0)) AS level
   FROM r WINDOW f AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 open AS (SELECT min_by(level, place) AS level FROM (SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) AS place FROM lev) WHERE level <= ratio),
-goal AS (SELECT lev.source, source_size, least(stop, coalesce(open.level * weight, stop)) AS target FROM lev, open),
+goal AS (SELECT lev.source, source_size, tilt, least(stop, coalesce(open.level * weight, stop)) AS target FROM lev, open),
 placed AS (
   SELECT rows.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM rows)
-SELECT p.doc_id, p.size, g.source_size, g.target,
-       CAST(p.size * (CASE WHEN p.size > 0 AND p.first + p.size / 2.0 < g.target THEN 1 ELSE 0 END
-                    + CASE WHEN p.size > 0 AND g.source_size + p.first + p.size / 2.0 < g.target THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source
+SELECT doc_id, size, source_size, target, CAST(size * (CASE WHEN once THEN 1 ELSE 0 END + CASE WHEN twice THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+  CASE WHEN once THEN round(CASE WHEN tilt = 1 THEN s1 ELSE (sqrt(greatest(tilt * tilt + 4 * (1 - tilt) * s1, 0)) - tilt) / (2 * (1 - tilt)) END, 9) END AS position_1,
+  CASE WHEN twice THEN round(CASE WHEN tilt = 1 THEN s2 ELSE (sqrt(greatest(tilt * tilt + 4 * (1 - tilt) * s2, 0)) - tilt) / (2 * (1 - tilt)) END, 9) END AS position_2
+FROM (
+  SELECT p.doc_id, p.size, g.source_size, g.target, g.tilt, p.size > 0 AND p.first + p.size / 2.0 < g.target AS once, p.size > 0 AND g.source_size + p.first + p.size / 2.0 < g.target AS twice,
+         p.first::DOUBLE / nullif(g.target, 0) AS s1, (g.source_size + p.first)::DOUBLE / nullif(g.target, 0) AS s2
+  FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source)
 """
 
 NEAREST = """
@@ -32,18 +35,27 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 ORACLE_SQL = {"op5_mixing": MIXING, "op10_vectors": NEAREST}
 
-TOOL_CALLS = """
-WITH asked AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'system')),
-answers AS (SELECT conv_id, turn - 1 AS asked_turn, min_by(text, (turn, text)) AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+TOOL_CALLS = r"""
+WITH asked AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) || ':' AS key FROM conversations WHERE role IN ('user', 'system')),
+answers AS (SELECT conv_id, turn - 1 AS asked_turn, min_by(text, (turn, text)) AS content FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+before AS (SELECT a.conv_id, a.turn, CASE WHEN a.turn >= 2 THEN CAST(a.conv_id AS VARCHAR) || ':' || CAST(a.turn - 2 AS VARCHAR) || ':reply' WHEN a.turn = 1 THEN CAST(a.conv_id AS VARCHAR) || ':0:configure' END AS need FROM asked a WHERE role = 'user'),
+made AS (
+  SELECT conv_id, turn, 0 AS level, 0 AS call_index, key || 'configure' AS call_id, 'configure' AS name, '{"prompt":' || CAST(to_json(text) AS VARCHAR) || '}' AS arguments, '' AS bad, NULL AS need FROM asked WHERE role = 'system'
+  UNION ALL SELECT conv_id, turn, 0, 0, key || 'read', 'read', '{"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}', '', need FROM asked JOIN before USING (conv_id, turn) WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, 1, 1, key || 'count', 'count', '{"limit":' || CASE WHEN w % 2 = 0 THEN CAST(w // 2 AS VARCHAR) ELSE CAST(w // 2 AS VARCHAR) || '.5' END || ',"words":' || w || '}', CASE WHEN w % 2 = 0 THEN '' ELSE 'limit is no integer' END, NULL
+    FROM (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM asked WHERE role = 'user')
+  UNION ALL SELECT conv_id, turn, 2, 2, key || 'reply', 'reply', '{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}', '', NULL FROM asked WHERE role = 'user'),
 c AS (
-  SELECT a.*, CAST(a.conv_id AS VARCHAR) || ':' || CAST(a.turn AS VARCHAR) AS call_id, CASE WHEN a.role = 'user' THEN 'reply' ELSE 'configure' END AS name, r.n IS NOT NULL AS linked, r.content,
-         CASE WHEN a.role = 'user' AND a.turn >= 2 AND NOT EXISTS (SELECT 1 FROM asked b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2)
-              THEN 'no call ' || CAST(a.conv_id AS VARCHAR) || ':' || CAST(a.turn - 2 AS VARCHAR) ELSE '' END AS errors
-  FROM asked a LEFT JOIN answers r ON r.conv_id = a.conv_id AND r.asked_turn = a.turn)
-SELECT conv_id, turn, 0 AS level, 0 AS call_index, call_id, name, linked, CASE WHEN errors <> '' THEN 'invalid' WHEN NOT linked THEN 'unanswered' ELSE 'ok' END AS status, errors,
-       '{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || CASE WHEN role = 'user' THEN ',"turn":' || CAST(turn AS VARCHAR) ELSE '' END || '},"id":"' || call_id || '","name":"' || name || '"'
-       || CASE WHEN content IS NOT NULL THEN ',"result":' || CAST(to_json(content) AS VARCHAR) ELSE '' END || ',"turn":' || CAST(turn AS VARCHAR) || '}' AS message
+  SELECT m.conv_id, m.turn, level, call_index, call_id, name, arguments, CASE WHEN name IN ('configure', 'reply') THEN r.content WHEN name = 'read' THEN string_split(r.content, chr(10))[1] END AS content,
+         r.conv_id IS NOT NULL AND name <> 'count' AND (name <> 'read' OR r.content IS NOT NULL) AS linked, CASE WHEN need IS NOT NULL AND need NOT IN (SELECT call_id FROM made) THEN 'no call ' || need ELSE bad END AS errors
+  FROM made m LEFT JOIN answers r ON r.conv_id = m.conv_id AND r.asked_turn = m.turn),
+lost AS (SELECT conv_id, turn, text, CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR) || ':' AS key FROM conversations WHERE role = 'assistant' AND (conv_id, turn - 1) NOT IN (SELECT (conv_id, turn) FROM asked WHERE role = 'user'))
+SELECT conv_id, turn, level, call_index, call_id, name, linked, CASE WHEN errors <> '' THEN 'invalid' WHEN NOT linked THEN 'unanswered' ELSE 'ok' END AS status, errors,
+       '{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '"' || CASE WHEN content IS NOT NULL THEN ',"result":' || CAST(to_json(content) AS VARCHAR) ELSE '' END || ',"turn":' || CAST(turn AS VARCHAR) || '}' AS message
 FROM c
+UNION ALL SELECT conv_id, turn, NULL, NULL, key || n, NULL, FALSE, 'orphan', '', '{"id":"' || key || n || '"' || CASE WHEN content IS NOT NULL THEN ',"result":' || CAST(to_json(content) AS VARCHAR) ELSE '' END || ',"turn":' || turn || '}'
+FROM (SELECT l.*, n, CASE WHEN n = 'read' THEN string_split(text, chr(10))[1] ELSE text END AS content FROM lost l CROSS JOIN (VALUES ('configure'), ('read'), ('reply')) v(n))
+WHERE (n <> 'read' OR content IS NOT NULL) AND key || n NOT IN (SELECT call_id FROM made)
 """
 
 

@@ -173,9 +173,9 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 32, grid: int = 8, rounds: i
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_chars: int = 100_000, **options) -> AdditiveModel:
-    """A model from at most `most_rows` labelled documents outside the held-out fold."""
-    rows = sample(docs, labels, "quality", FOLD, most_rows, most_chars)
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_bytes: int = 64 << 20, **options) -> AdditiveModel:
+    """A model from at most `most_rows` labelled documents of `most_bytes` together, outside the held-out fold."""
+    rows = sample(docs, labels, "quality", FOLD, most_rows, most_bytes)
     x = np.array([features(t) for _, t, _ in rows]).reshape(-1, len(FEATURES))
     return train(x, np.array([float(r[2]) for r in rows]), **options)
 

@@ -215,9 +215,9 @@ def keep_clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.7) ->
     return docs.mapInArrow(work, docs.schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_chars: int = 100_000) -> SubwordModel:
-    """A model from at most `most_rows` labelled documents outside the held-out fold."""
-    return train(sample(docs, labels, "toxic", FOLD, most_rows, most_chars))
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_bytes: int = 64 << 20) -> SubwordModel:
+    """A model from at most `most_rows` labelled documents of `most_bytes` together, outside the held-out fold."""
+    return train(sample(docs, labels, "toxic", FOLD, most_rows, most_bytes))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:

@@ -85,6 +85,18 @@ def test_chat_reads_calls_from_messages(spark):
     assert [(r.call_id, r.status) for r in got] == [("a", "ok")] and json.loads(got[0].message)["result"] == "3"
 
 
+def test_all_calls_of_a_conversation(spark):
+    call = '{"tool_calls": [{"id": "a", "name": "count", "arguments": {"words": 1, "limit": 2}, "depends_on": ["b"]}, {"id": "b", "name": "read", "arguments": {"text": "x", "turn": "0"}}]}'
+    rows = [(1, 0, "system", "rules"), (1, 1, "user", "one two three"), (1, 2, "assistant", "first\nsecond"), (1, 3, "user", "one two"), (1, 4, "assistant", call), (1, 5, "tool", '{"tool_call_id": "a", "content": "3"}'), (1, 6, "tool", '{"tool_call_id": "z", "content": "lost"}'), (2, 4, "assistant", "alone"), (None, 0, "user", None)]
+    calls, results = chat.all_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r.conv_id, r.call_id): r for r in chat.link(calls, results, chat.CHAT_TOOLS).collect()}
+    g = lambda c: got[1, c]
+    assert {k[1]: (r.level, r.status) for k, r in got.items() if k[0] == 1} == {"1:0:configure": (0, "unanswered"), "1:1:read": (0, "ok"), "1:1:count": (1, "invalid"), "1:1:reply": (2, "ok"), "1:3:read": (0, "unanswered"), "1:3:count": (1, "unanswered"), "1:3:reply": (2, "unanswered"), "a": (1, "ok"), "b": (0, "invalid")}
+    assert g("1:1:count").errors == ["limit is no integer"] and g("b").errors == ["turn is no integer"] and json.loads(g("1:1:read").message)["result"] == "first"
+    assert sorted((r.conv_id, r.call_id, r.status) for r in chat.orphan_rows(calls, results).collect()) == [(1, "z", "orphan"), (2, "2:3:configure", "orphan"), (2, "2:3:read", "orphan"), (2, "2:3:reply", "orphan")]
+    assert chat.link(*[x.limit(0) for x in (calls, results)], chat.CHAT_TOOLS).count() == 0
+
+
 # --------------------------------------------------------------------------- 2 quality, 4 toxicity
 
 
@@ -213,6 +225,24 @@ def test_family_keeps_few_levels():
     assert got[:-2].tolist() == list(least.values()) and (got[-2:] == (1 << 63) - 1).all()
 
 
+def test_family_answers_every_batch():
+    family, rng, batches = suffix_dedup.Family(), np.random.default_rng(5), []
+    for _ in range(23):
+        n = int(rng.integers(0, 60))
+        keys = rng.integers(0, 25, n).astype(np.uint64), rng.integers(0, 4, n).astype(np.uint64)
+        doc = rng.integers(0, 1000, n)
+        batches.append((keys, doc, family.insert(suffix_dedup.suffix_array(keys, doc))))
+    least, bodies = {}, collections.defaultdict(set)
+    for keys, doc, _ in batches:
+        for a, b, d in zip(*(k.tolist() for k in keys), doc.tolist(), strict=True):
+            least[a, b] = min(least.get((a, b), 9999), d)
+            bodies[a].add(b)
+    for keys, _, number in batches:
+        docs, mixed = family.answers(number)
+        pairs = list(zip(*(k.tolist() for k in keys), strict=True))
+        assert docs.tolist() == [least[p] for p in pairs] and mixed.tolist() == [len(bodies[a]) > 1 for a, _ in pairs]
+
+
 # --------------------------------------------------------------------------- 5 mixing
 
 
@@ -248,6 +278,18 @@ def test_mix_meets_its_targets(spark, awkward, seed):
     assert all(abs(taken[s] - want[s]) <= largest for s in sizes)
 
 
+def test_training_stream_reads_rows_not_ids(spark):
+    rows = [(7, "a b c", "s"), (7, "a b c", "s"), (7, "d e f g", "s"), (None, "n n", "s"), (None, "n n", "t"), (None, None, None), (8, "x y z w", "t"), (9, "", "t")]
+    df = frame(spark, rows).withColumnRenamed("extra", "position").withColumnRenamed("row", "positions").withColumn("_row", F.lit(1))
+    want = collections.Counter()
+    for r in mixing.mix(df).collect():
+        want[r.doc_id, r.source, r.size] += len(r.positions)
+    got = mixing.training_stream(df)
+    assert got.columns == df.columns
+    assert collections.Counter((r.doc_id, r.source, len((r.text or "").split())) for r in got.collect()) == +want
+    assert mixing.training_stream(df.limit(0)).count() == 0
+
+
 def test_mix_edges_and_stream(spark, nothing):
     assert mixing.mix(nothing).count() == 0
     assert [r.taken for r in mixing.mix(frame(spark, [(1, None, None), (2, "", "x")])).collect()] == [0, 0]
@@ -293,6 +335,16 @@ def test_packing_round_trip(spark, awkward, nothing):
     assert windows * 2048 <= 1.03 * tokens
 
 
+def test_packing_starts_from_the_least_count_at_every_size():
+    rng = random.Random(13)
+    for n in (1, 2, 20, 31, 32, 33, 70, 300):
+        sizes = [512] * (4 * n)  # whole windows without a gap
+        assert len({p[3] for p in packing.pack_lengths(sizes)}) == n
+        mixed = [rng.randint(1, 700) for _ in range(8 * n)]
+        used = len({p[3] for p in packing.pack_lengths(mixed)})
+        assert -(-sum(mixed) // 2048) <= used <= -(-sum(mixed) // 2048) + max(1, n // 30)
+
+
 def test_word_encoder_equals_the_tokenizer():
     e = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"), keep=20)
     for x in ["It's DON'T we'll", "a..b, c., d,. ,. É ÉTÉ. <|endoftext|> x<|endoftext|>, ΣΑΣ Σ. İstanbul Ǆ 12,3 ﬁ éa.", "日本語。テスト, x　y z\x1cq\x85r", "'s 's. ''ll, l'été. ª º ⅷ", "", "\x00 a\x00b _,", "w" * 5000 + " , . a"]:
@@ -365,7 +417,9 @@ def test_near_duplicates_equal_brute_force(spark, awkward, nothing, options):
     rows = family(1)
     want = groups(rows, words, num, 100)
     assert near(frame(spark, rows), **options) == want
-    assert near(frame(spark, rows), block_shingles=1500, **options) == want  # a cluster over several blocks
+    assert near(frame(spark, rows), block_shingles=1500, bucket_rows=5, **options) == want  # clusters and buckets over several blocks
+    short = [(n, f"same {'words'[: n % 5 + 1]}", "s") for n in range(200)]
+    assert near(frame(spark, short), block_shingles=1500, bucket_rows=7, **options) == groups(short, words, num, 100)
 
 
 def test_bayes_bounds_and_signatures():
@@ -382,6 +436,18 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {**{k: 0 for k in range(31)}, 100: 50, 50: 50, 70: 50, 200: 200}
     assert components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+    star = {r.node: r.component for r in components(spark.createDataFrame([(5, k) for k in range(1000, 1400)] + [(1399, 2)], "a long, b long"), "t").collect()}
+    assert star == {**{k: 2 for k in range(1000, 1400)}, 5: 2, 2: 2}
+
+
+def test_chance_collisions_join_no_cluster():
+    rng = np.random.default_rng(6)
+    verifier = near_dup.Verifier(80, 100, 35, 5, 1e-6, 25)
+    base = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    sets = [np.concatenate([base[:30], rng.integers(0, 1 << 63, 70).astype(np.uint64)]) for _ in range(40)] + [np.concatenate([base[:96], rng.integers(0, 1 << 63, 4).astype(np.uint64)]) for _ in range(3)]
+    values = np.stack([near_dup.signature(s, 175) for s in sets]).astype(np.uint8)
+    assert sorted(verifier.forest(np.full(43, 100), values, None)) == [(40, 41), (40, 42)]
+    assert verifier.forest(np.full(43, 100), values, np.arange(43) % 2) == [(40, 41), (41, 42)]
 
 
 # --------------------------------------------------------------------------- 9 fingerprints
@@ -403,8 +469,40 @@ def test_fingerprints_equal_brute_force(spark, awkward, nothing):
             by_id[i].add((len(t), hashlib.sha256(new.encode()).hexdigest(), common))
         assert all((r.n_chars, r.edited_sha256, r.common_prefix_edited) in by_id[r.doc_id] for r in got)
         assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    text = {r.doc_id: r.fingerprint for r in got}
-    assert len(text) == 1
+    same = fingerprints.fingerprints(frame(spark, [(1, "one text", "s"), (2, "one text", "s"), (3, "another", "s")])).orderBy("doc_id").collect()
+    assert same[0].fingerprint == same[1].fingerprint != same[2].fingerprint and same[0].near_next == 1.0
+
+
+def windows(text):
+    return {text[max(0, k - 12) : k] for k in range(1, len(text) + 1)}
+
+
+def likeness(a, b):
+    return 1.0 if a == b else len(windows(a) & windows(b)) / max(1, len(windows(a) | windows(b)))
+
+
+def test_likeness_equals_brute_force(spark):
+    rng = random.Random(11)
+    letters = "".join(rng.choice("abcdefghij é") for _ in range(400))
+    for n in (1, 2, 3, 4, 5, 11, 12, 13, 22, 23, 24, 25, 30, 40, 60):
+        text, other = letters[:n], letters[: n - n // 4] + letters[300 : 300 + n // 4]
+        for a, b in ((text, other), (text, text[: n - n // 4]), (text, letters[200 : 200 + n]), (text, text + "q")):
+            got = fingerprints.Fingerprint(a).likeness(fingerprints.Fingerprint(b))
+            exact = len(windows(a) | windows(b)) <= 64
+            assert got == pytest.approx(likeness(a, b)) if exact else abs(got - likeness(a, b)) < 0.25
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    order, off = sorted(docs), []
+    for r in fingerprints.fingerprints(spark.read.parquet(f"{SF}/documents.parquet")).collect():
+        following = docs[order[(order.index(r.doc_id) + 1) % len(order)]]
+        off += [r.near_edited - likeness(docs[r.doc_id], fingerprints.edited(docs[r.doc_id], following)), r.near_next - likeness(docs[r.doc_id], following)]
+    assert max(map(abs, off)) < 0.3 and abs(np.mean(off)) < 0.01
+
+
+@pytest.mark.parametrize("n", [22, 23, 24, 25, 32])
+def test_no_length_at_which_likeness_breaks(spark, n):
+    rows = [(1, "abcdefghijklmnopqrstuvwxyz012345"[:n], "s"), (2, "", "s")]
+    r = fingerprints.fingerprints(frame(spark, rows)).where("doc_id = 1").first()
+    assert r.near_edited == pytest.approx((n - n // 4) / n)
 
 
 def test_prefix_hashes():
@@ -418,7 +516,7 @@ def test_prefix_hashes():
         assert (x.span(i, i + n) == y.span(j, j + n)) == (a[i : i + n] == b[j : j + n])
     f = fingerprints.Fingerprint
     assert f(a).text == f(a).text and f(a).likeness(f(b)) > 0.7 and f(a).likeness(f("q" * 300)) == 0 and f("").likeness(f("")) == 1 and f("").likeness(f("a")) == 0
-    assert int(x.windows(12)[5]) == x.span(5, 17)
+    assert int(x.windows(12)[16]) == x.span(5, 17) and int(x.windows(12)[3]) == x.span(0, 4) and len(x.windows(12)) == 400
 
 
 # --------------------------------------------------------------------------- 10 vectors
@@ -445,6 +543,20 @@ def test_search_equals_brute_force(spark):
     assert [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2]
 
 
+def test_search_counts_a_vec_id_once(spark):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((60, 8)).round(3)
+    rows = [(n, [float(x) for x in v[n]]) for n in range(60)]
+    more = [(20, rows[20][1]), (20, [9.0] * 8), (7, rows[7][1]), (7, rows[7][1]), (9, [-9.0] * 8)]
+    kept = {n: min([r[1] for r in rows + more if r[0] == n]) for n in range(60)}
+    got = collections.defaultdict(list)
+    for r in vectors.nearest(spark.createDataFrame(rows + more, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    for q in (0, 20, 40):
+        want = sorted((-sum(np.add.accumulate(np.array(kept[q]) * np.array(kept[n]))[-1:]), n) for n in range(60) if n != q)
+        assert got[q] == [(k + 1, n) for k, (_, n) in enumerate(want[:20])]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(9)
     v, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
