@@ -40,9 +40,11 @@ def components(links: DataFrame, label: str) -> DataFrame:
         both, least = _with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = least.select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = settle(large, label)  # read three times by the next step
         rest, least = _with_least(large)
         small = rest.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = settle(small, label)
+        discard(large)
         discard(now)
         now, before, seen = new, seen, _checksum(new)
         if seen == before:
