@@ -11,16 +11,6 @@ from quillmere.plans.search import table
 from quillmere.sources.files import page_links as links_of
 
 
-def catalogue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by several dimensions in one pass each: documents by language and source, orders by status and priority."""
-    docs, orders = table(spark, sf_dir, "documents"), table(spark, sf_dir, "orders")
-    each = lambda df, c: df.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("dimension"), "value", "n")
-    return each(docs, "lang").unionByName(each(docs, "source")).unionByName(each(orders, "o_orderstatus")).unionByName(each(orders, "o_orderpriority"))
-
-
-CATALOGUE_COUNTS = " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS n FROM {t} GROUP BY {c}" for c, t in (("lang", "documents"), ("source", "documents"), ("o_orderstatus", "orders"), ("o_orderpriority", "orders")))
-
-
 def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by what was redacted in them, and how often."""
     found = redaction.redact(table(spark, sf_dir, "documents"), "text").select(F.explode("redactions").alias("kind", "n"))
@@ -115,28 +105,6 @@ UNION ALL SELECT q, 2, split_part(id, ':', 1), count(*), 0.36::DOUBLE FROM d2 WH
 """
 
 
-def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges with their derived ids."""
-    return _typed_edges(spark, sf_dir).select("id", "source", "target", "type")
-
-
-GRAPH_BUILD = """
-WITH e AS (SELECT 'customer:' || c_custkey AS source, 'nation:' || c_nationkey AS target, 'depends_on' AS type FROM customer
-  UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'refines' FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'supports' FROM supplier)
-SELECT 'edge_' || sha256(source || chr(0) || target || chr(0) || type)[1:20] AS id, source, target, type FROM e
-"""
-
-
-def ledger_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest event of each user and type: last writer wins, ties to the larger event_id."""
-    e = table(spark, sf_dir, "events")
-    newest = F.max(F.struct("ts", "event_id", "value"))
-    return e.groupBy("user_id", "event_type").agg(newest.alias("_n"), F.count(F.lit(1)).alias("events")).select("user_id", "event_type", F.col("_n.event_id").alias("event_id"), F.col("_n.value").alias("value"), "events")
-
-
-LEDGER_LATEST = "SELECT user_id, event_type, event_id, value, events FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS events, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"
-
-
 def session_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each purchase with the sign-up right before it among a user's sign-ups and purchases."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase")).select("event_id", "user_id", "ts", F.when(F.col("event_type") == "signup", "start").otherwise("stop").alias("event"))
@@ -175,14 +143,6 @@ def net_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 NET_FEEDBACK = "SELECT d.source AS memory_id, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE -1 END) AS BIGINT) AS net FROM labels JOIN documents d USING (doc_id) WHERE d.source IS NOT NULL GROUP BY 1"
 
 
-def mining_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by type and decile of value that at least three different users had."""
-    e = table(spark, sf_dir, "events").select("event_type", F.floor(F.col("value") / 10).cast("long").alias("bucket"), "user_id")
-    return e.groupBy("event_type", "bucket").agg(F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("events")).where("users >= 3")
-
-
-MINING_GROUPS = "SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS bucket, count(DISTINCT user_id) AS users, count(*) AS events FROM events GROUP BY 1, 2 HAVING count(DISTINCT user_id) >= 3"
-
 _SIDES = """
 b AS (SELECT doc_id, text || '.' AS text, doc_id % 7 = 6 AS deleted FROM documents WHERE doc_id % 3 <> 0),
 l AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN text || 'l' WHEN doc_id % 4 = 2 THEN text || 'x' ELSE text || '.' END AS text FROM documents WHERE doc_id % 5 <> 0),
@@ -303,6 +263,6 @@ SELECT p AS provider, count(*) AS cases, count(*) FILTER (hit = ne AND bad = 0)
        round(avg(CASE WHEN bad > 0 THEN 1.0 ELSE 0.0 END), 6) AS false_injection_rate FROM m JOIN e USING (k) GROUP BY p
 """
 
-_ALL = (catalogue_counts, redaction_counts, redacted_hash, estimate_tokens, summary_extract, section_split, content_dedup, graph_bfs2, graph_build, ledger_latest, session_pairing, timeline_status, net_feedback, mining_groups, sync_three_way, cdc_classify, calibration_grid, audit_summary, page_links, provider_comparison)
+_ALL = (redaction_counts, redacted_hash, estimate_tokens, summary_extract, section_split, content_dedup, graph_bfs2, session_pairing, timeline_status, net_feedback, sync_three_way, cdc_classify, calibration_grid, audit_summary, page_links, provider_comparison)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

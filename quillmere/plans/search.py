@@ -147,28 +147,7 @@ SELECT item_id, doc_id, rrf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_n
 """
 
 
-def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as weighted labels (type 1, brand 0.6, name 0.8) against one request, scored by how rare the labels are."""
-    parts = table(spark, sf_dir, "part")
-    item = lambda c, w: F.struct(text.normalise_label(F.col(c)).alias("value"), F.lit(w).alias("weight"))
-    labels = parts.select(F.col("p_partkey"), F.explode(F.array(item("p_type", 1.0), item("p_brand", 0.6), item("p_name", 0.8))).alias("_l")).select("p_partkey", "_l.value", "_l.weight")
-    df = labels.select("p_partkey", "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("df"))
-    n = parts.agg(F.count(F.lit(1)).alias("n"))
-    query = text.normalise_label(F.lit("economy small ring brand#2 blue bolt"))
-    rare = F.greatest(F.lit(0.1), scores.clamp(scores.specificity(F.col("n"), F.col("df"))))
-    value = scores.clamp(F.col("weight")) * scores.metadata_coverage(F.col("value"), query) * rare
-    return labels.join(df, "value").crossJoin(F.broadcast(n)).groupBy("p_partkey").agg(F.round(scores.clamp(F.sum(value)), 6).alias("metadata"))
-
-
 _NORM = "regexp_replace(regexp_replace(lower(trim({0})), '[_\\s]+', '-', 'g'), '-+', '-', 'g')"
-LABEL_SCORES = f"""
-WITH l AS (SELECT p_partkey, unnest([{{'v': {_NORM.format("p_type")}, 'w': 1.0}}, {{'v': {_NORM.format("p_brand")}, 'w': 0.6}}, {{'v': {_NORM.format("p_name")}, 'w': 0.8}}]) AS x FROM part),
-df AS (SELECT x.v AS v, count(DISTINCT p_partkey) AS df FROM l GROUP BY x.v),
-n AS (SELECT count(*) AS n FROM part), q AS (SELECT 'economy-small-ring-brand#2-blue-bolt' AS q)
-SELECT p_partkey, round(greatest(0.0, least(1.0, sum(CAST(x.w AS DOUBLE) * CASE WHEN length(x.v) > 0 AND contains(q, x.v) THEN length(x.v) / length(q) ELSE 0.0 END
-   * greatest(0.1, greatest(0.0, least(1.0, ln((n + 1) / (df + 1)) / ln(greatest(2, n + 1)))))))), 6) AS metadata
-FROM l JOIN df ON df.v = l.x.v CROSS JOIN n CROSS JOIN q GROUP BY p_partkey
-"""
 
 
 def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,5 +285,5 @@ n AS (SELECT id, count(*) FILTER (v <> 0) AS features, sum(v) AS s, sqrt(sum(v *
 SELECT t.id, CAST(coalesce(features, 0) AS INTEGER) AS features, round(coalesce(CASE WHEN norm = 0 THEN 0 ELSE s / norm END, 0), 5) AS total FROM t LEFT JOIN n USING (id)
 """
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_normalised, evidence_gate, token_stats, dense_topk, hybrid_rrf, label_scores, label_match, access_filter, eval_metrics, context_budget, embed_hash)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_normalised, evidence_gate, token_stats, dense_topk, hybrid_rrf, label_match, access_filter, eval_metrics, context_budget, embed_hash)}
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES}
