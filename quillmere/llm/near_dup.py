@@ -131,7 +131,7 @@ class Verifier:
         return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, bands: int = 35, rows: int = 5, miss: float = 1e-6, batch: int = 25, block_shingles: int = 400_000, bucket_rows: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, bands: int = 35, rows: int = 5, miss: float = 1e-6, batch: int = 25, block_shingles: int = 100_000, bucket_rows: int = 512) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity >= numerator / denominator.
 
     1. One pass makes each document's set of `words`-word shingles, a digest of the set, a key
