@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             data, offsets = utf8(rb.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, 1 << 19):
                 sets = shingle_sets(*word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), words)
                 full = [s for s in sets if len(s)]
                 values = np.stack([signature(s, hashes) for s in full]) if full else np.zeros((0, hashes), np.uint32)
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
         for rb in batches:
             data, offsets = utf8(rb.column(4))
             node, cluster, blocks, block = (rb.column(k).to_pylist() for k in range(4))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, 1 << 19):
                 sets = shingle_sets(*word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), words)
                 out: dict[str, list] = {k: [] for k in ("cluster", "lo", "hi", "side", "node", "shingles")}
                 for r in range(i, j):

@@ -183,13 +183,18 @@ class Scorer:
             if len(self.known) + len(new) > self.keep:
                 self.known = {}
                 new = sorted(set().union(*sets))
-            for at in range(0, len(new), 50_000):
-                part = new[at : at + 50_000]
+            for at in range(0, len(new), 5_000):
+                part = new[at : at + 5_000]
                 self.known.update(zip(part, self.model.word_scores(part).tolist(), strict=True))
             out += [_evidence(list(map(self.known.__getitem__, s))) for s in sets]
         z = np.array(out).reshape(-1, _EVIDENCE) @ self.model.calibration
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
+    def column(self, texts: pa.Array, rows: int = 256) -> np.ndarray:
+        """Scores of a column, of which a few hundred texts at a time are Python strings."""
+        parts = [self(texts.slice(k, rows).to_pylist()) for k in range(0, len(texts), rows)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
 
 def score_texts(docs: DataFrame, model: SubwordModel) -> DataFrame:
     """(doc_id, score) of every row; the model's table has a fixed size and goes with the tasks."""
@@ -198,7 +203,7 @@ def score_texts(docs: DataFrame, model: SubwordModel) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for rb in batches:
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(scorer(rb.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(scorer.column(rb.column(1)), pa.float64())], ["doc_id", "score"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, "doc_id long, score double")
 
@@ -210,7 +215,7 @@ def keep_clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.7) ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for rb in batches:
-            yield rb.filter(pa.array(scorer(rb.column(place).to_pylist()) < threshold))
+            yield rb.filter(pa.array(scorer.column(rb.column(place)) < threshold))
 
     return docs.mapInArrow(work, docs.schema)
 
