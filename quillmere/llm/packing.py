@@ -23,48 +23,67 @@ def differencing(sizes: list[int], windows: int) -> list[int]:
     Every item starts as a partial partition of `windows` sums of which one is not 0. The two
     partial partitions with the largest spread are merged, the largest sum of one onto the
     smallest of the other, until one is left: its sums are nearly equal. What stands in which
-    window is read back from the merges. An item's sums but one are 0, so adding an item
-    changes one sum; only merged partitions are kept as arrays.
+    window is read back from the merges.
+
+    Only sums above 0 are kept, largest first. While those of two partitions fit beside each
+    other, merging lays them side by side, and an item that is smaller than all sums is put at
+    their end; arrays of all windows are made only where sums are added.
     """
-    if not sizes:
-        return []
-    if windows == 1:
-        return [0] * len(sizes)
-    sums: dict[int, np.ndarray] = {}
+    n = len(sizes)
+    if windows == 1 or not n:
+        return [0] * n
+    sums: dict[int, list[int] | np.ndarray] = {}
     heap = [(-s, i) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    n, bits, number = len(sizes), int(windows).bit_length(), np.arange(windows)
+    bits, number = int(windows).bit_length(), np.arange(windows)
     mask = (1 << bits) - 1
-    links: list[tuple[int, int, np.ndarray]] = []  # (a, b, order): window w of the merge holds window w of a and window order[w] of b
+    links: list[tuple[int, int, int, int, object]] = []  # (a, b, sums of a, sums of b, how they lie in the merge)
 
-    def dense(node: int) -> np.ndarray:
-        if node >= n:
-            return sums.pop(node)
+    def dense(x: list[int] | np.ndarray) -> np.ndarray:
         out = np.zeros(windows, np.int64)
-        out[0] = sizes[node]
+        out[: len(x)] = x
         return out
 
     while len(heap) > 1:
         _, a = heapq.heappop(heap)
         _, b = heapq.heappop(heap)
-        x, y = dense(a), dense(b)  # each sorted, largest first
-        keyed = np.sort(-(x + y[::-1]) << bits | number)  # largest first, equal ones by number
-        order, total = keyed & mask, -(keyed >> bits)
-        node = n + len(links)
-        links.append((a, b, order))
+        x, y = (sums.pop(k) if k >= n else [sizes[k]] for k in (a, b))
+        node, size_x, size_y, order = n + len(links), len(x), len(y), None
+        if size_x + size_y > windows:
+            keyed = np.sort(-(dense(x) + dense(y)[::-1]) << bits | number)  # largest first, equal ones by number
+            order, total = keyed & mask, -(keyed >> bits)
+        elif size_y == 1 and y[0] <= x[-1]:
+            x.append(y[0])
+            total = x
+        else:
+            both = [*x, *y]
+            order = sorted(range(len(both)), key=lambda k: -both[k])
+            total = [both[k] for k in order]
+        links.append((a, b, size_x, size_y, order))
         sums[node] = total
-        heapq.heappush(heap, (-int(total[0] - total[-1]), node))
+        heapq.heappush(heap, (-int(total[0] - (total[-1] if len(total) == windows else 0)), node))
     out = [0] * n
-    stack = [(heap[0][1], np.arange(windows))]
+    last = heap[0][1]
+    stack: list[tuple[int, list[int] | np.ndarray]] = [(last, list(range(len(sums[last]) if last >= n else 1)))]
     while stack:
-        node, where = stack.pop()  # where[w]: final window of the node's window w
+        node, where = stack.pop()  # where[w]: final window of the node's sum w
         if node < n:
             out[node] = int(where[0])
             continue
-        a, b, order = links[node - n]
-        own = np.empty(windows, np.int64)
-        own[order] = where  # before the sort
-        stack += [(a, own), (b, own[::-1])]
+        a, b, size_x, size_y, order = links[node - n]
+        if order is None:
+            where = where if isinstance(where, list) else where.tolist()
+            own, other = where, [where.pop()]
+        elif isinstance(order, list):
+            before = [0] * len(order)
+            for w, k in enumerate(order):
+                before[k] = where[w]
+            own, other = before[:size_x], before[size_x:]
+        else:
+            before = np.empty(windows, np.int64)
+            before[order] = where  # before the sort
+            own, other = before[:size_x], before[::-1][:size_y]
+        stack += [(a, own), (b, other)]
     return out
 
 
