@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import re
-import time
 import uuid
 from collections.abc import Callable
 
@@ -81,14 +79,3 @@ def fingerprint(df: DataFrame) -> str:
     n, mixed = files.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor("h"), F.lit(0))).first()
     columns = df.sparkSession.range(1).select(F.xxhash64(F.lit(df.schema.json()))).first()[0]
     return f"{n:x}-{mixed & (1 << 64) - 1:016x}-{columns & (1 << 64) - 1:016x}"
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now.
-
-    It does so once the driver has collected what stood for them, in Python first.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
