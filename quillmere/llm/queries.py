@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import chat, fingerprints, licences, mixing, near_dup, oracles, packing, quality, suffix_dedup, toxicity, vectors
+from quillmere.llm import chat, fingerprints, licences, mixing, near_dup, oracles, packing, quality, suffix_dedup, token_files, toxicity, vectors
 from quillmere.llm.common import table, tokenizer_path
 
 
@@ -66,5 +66,10 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_quality, op3_suffix_array, op4_toxicity, op5_mixing, op6_packing, op7_licences, op8_minhash, op9_fingerprints, op10_vectors)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum in files of coded ids, from the files."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_quality, op3_suffix_array, op4_toxicity, op5_mixing, op6_packing, op7_licences, op8_minhash, op9_fingerprints, op10_vectors, op11_token_files)}
 ORACLE_SQL = oracles.ORACLE_SQL
