@@ -104,3 +104,35 @@ SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(
 """
 
 ORACLE_SQL |= {"op3_suffix_array": REPEATS, "op8_minhash": NEAR_COPIES}
+
+REPAIR = rf"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+crc AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 8 * len(key)), lambda j: CASE WHEN j % 8 = 0 THEN ascii(key[j // 8 + 1]) ELSE 0 END::BIGINT)),
+         lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)))) % 20 AS hit FROM keyed),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE hit WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM crc)),
+said AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(len(role) || ':' || role || text)) - 1 AS i, regexp_extract(text, '({_WORD[:-1]})[\x20\x09-\x0D]*$', 1) AS last FROM rows),
+faulty AS (SELECT *, role[1] AS initial, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM said),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM faulty) GROUP BY conv_id),
+moves(q, letter, cost, initial, nq) AS (VALUES (0, 'K', 0, 's', 1), (0, 'K', 0, 'u', 2), (1, 'K', 0, 'u', 2), (2, 'K', 0, 'a', 3), (3, 'K', 0, 'u', 2), (0, 'D', 3, '', 0), (1, 'D', 3, '', 1), (2, 'D', 3, '', 2), (3, 'D', 3, '', 3), (0, 'R', 2, '', 2), (1, 'R', 2, '', 2), (2, 'R', 2, '', 3), (3, 'R', 2, '', 2)),
+more(q, letters, cost, said, nq) AS (VALUES (0, '', 0, [], 0), (1, '', 0, [], 1), (2, '', 0, [], 2), (3, '', 0, [], 3), (0, 'I', 2, ['user:'], 2), (1, 'I', 2, ['user:'], 2), (2, 'I', 2, ['assistant:'], 3), (3, 'I', 2, ['user:'], 2),
+  (0, 'II', 4, ['user:', 'assistant:'], 3), (1, 'II', 4, ['user:', 'assistant:'], 3), (2, 'II', 4, ['assistant:', 'user:'], 2), (3, 'II', 4, ['user:', 'assistant:'], 3)),
+best(conv_id, i, q, v) AS (
+  SELECT conv_id, 0, 0, {{'cost': 0, 'audit': '', 'said': []::VARCHAR[]}} FROM facts
+  UNION ALL
+  SELECT b.conv_id, b.i + 1, m.nq, min({{'cost': b.v.cost + p.cost + m.cost + CASE WHEN m.letter <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': b.v.audit || p.letters || m.letter,
+    'said': b.v.said || p.said || CASE m.letter WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE m.nq WHEN 3 THEN 'assistant' ELSE 'user' END || ':' || f.text] END}})
+  FROM best b JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i JOIN more p ON p.q = b.q JOIN moves m ON m.q = p.nq AND (m.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate')) AND (m.letter <> 'K' OR m.initial = f.initial)
+  GROUP BY b.conv_id, b.i + 1, m.nq),
+done AS (SELECT b.conv_id, min({{'cost': b.v.cost + p.cost, 'audit': b.v.audit || p.letters, 'said': b.v.said || p.said}}) AS v FROM best b JOIN facts USING (conv_id) JOIN more p ON p.q = b.q WHERE b.i = n AND p.nq IN (0, 3) GROUP BY b.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(v.cost, 0) AS BIGINT) AS cost, coalesce(v.audit, '') AS audit,
+       sha256(coalesce(array_to_string(v.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLE_SQL |= {"op12_repair": REPAIR}

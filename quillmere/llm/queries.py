@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import chat, fingerprints, licences, mixing, near_dup, oracles, packing, quality, suffix_dedup, token_files, toxicity, vectors
+from quillmere.llm import chat, fingerprints, licences, mixing, near_dup, oracles, packing, quality, repair, suffix_dedup, token_files, toxicity, vectors
 from quillmere.llm.common import table, tokenizer_path
 
 
@@ -71,5 +71,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_quality, op3_suffix_array, op4_toxicity, op5_mixing, op6_packing, op7_licences, op8_minhash, op9_fingerprints, op10_vectors, op11_token_files)}
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return repair.digests(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_quality, op3_suffix_array, op4_toxicity, op5_mixing, op6_packing, op7_licences, op8_minhash, op9_fingerprints, op10_vectors, op11_token_files, op12_repair)}
 ORACLE_SQL = oracles.ORACLE_SQL
