@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import chat, fingerprints, licences, mixing, near_dup, oracles, packing, quality, repair, suffix_dedup, token_files, toxicity, vectors
+from quillmere.llm import chat, fingerprints, licences, mixing, near_dup, negatives, oracles, packing, quality, repair, suffix_dedup, token_files, toxicity, vectors
 from quillmere.llm.common import table, tokenizer_path
 
 
@@ -76,5 +76,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_quality, op3_suffix_array, op4_toxicity, op5_mixing, op6_packing, op7_licences, op8_minhash, op9_fingerprints, op10_vectors, op11_token_files, op12_repair)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vec_id that 100 divides, over all rows."""
+    return negatives.hard_negatives(negatives.shifted(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_quality, op3_suffix_array, op4_toxicity, op5_mixing, op6_packing, op7_licences, op8_minhash, op9_fingerprints, op10_vectors, op11_token_files, op12_repair, op13_hard_negatives)}
 ORACLE_SQL = oracles.ORACLE_SQL
