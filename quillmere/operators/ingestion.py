@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.functions.text import content_hash, strip_markup
@@ -181,18 +181,22 @@ def list_sources(manifests: DataFrame, status: str | None = None, availability:
 def mark_reviewed(manifests: DataFrame, receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(manifests, refused receipts): a receipt counts if it names the hash that is there now (optimistic lock).
 
-    receipts: source_id, expected_hash, status, duplicate_of, refined_knowledge_ids.
+    receipts: source_id, expected_hash, status, duplicate_of, refined_knowledge_ids. Of several
+    receipts of a source that name one hash, the one whose JSON is largest counts; the others
+    are neither applied nor refused. A manifest stays one row.
     """
-    r = receipts.select("source_id", F.struct(*[c for c in receipts.columns if c != "source_id"]).alias("r"))
-    rows = manifests.join(r, "source_id", "left")
-    ok = F.coalesce(F.col("r.expected_hash") == F.col("content_hash"), F.lit(False))
+    body = F.struct(*[c for c in receipts.columns if c != "source_id"])
+    r = receipts.groupBy("source_id", F.col("expected_hash").alias("_hash")).agg(F.max_by(body, F.to_json(body)).alias("r"))
+    rows = manifests.join(r, (r.source_id == manifests.source_id) & (r._hash == manifests.content_hash), "left").drop(r.source_id)
+    ok = F.col("r").isNotNull()
     changed = {"processing_status": F.col("r.status"), "processed_content_hash": F.col("content_hash"), "duplicate_of": F.col("r.duplicate_of"), "refined_knowledge_ids": F.col("r.refined_knowledge_ids")}
     out = rows.select(*[F.when(ok, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in manifests.columns])
-    refused = receipts.join(manifests.select("source_id", F.col("content_hash").alias("_h")), "source_id", "left").where(F.col("_h").isNull() | (F.col("_h") != F.col("expected_hash"))).drop("_h")
+    there = manifests.groupBy("source_id").agg(F.max("content_hash").alias("_h"))
+    refused = receipts.join(there, "source_id", "left").where(F.col("_h").isNull() | (F.col("_h") != F.col("expected_hash"))).drop("_h")
     return out, refused
 
 
 def newest(rows: DataFrame, key: str, time: str) -> DataFrame:
-    """The newest row of each key."""
-    order = Window.partitionBy(key).orderBy(F.col(time).desc())
-    return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    """The newest row of each key; of several of one time, the one whose JSON is largest."""
+    row = F.struct(*rows.columns)
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.struct(time, F.to_json(row))).alias("_row")).select("_row.*")

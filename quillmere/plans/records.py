@@ -221,7 +221,7 @@ a AS (SELECT g.s, g.w, g.n, c.k, abstain, ne, coalesce(found, 0) AS found, coale
 m AS (SELECT s, w, n, CAST(sum(bad) AS BIGINT) AS false_injections, count(*) FILTER (abstain AND found > 0) AS abstention_failures, CAST(sum(dis) AS BIGINT) AS disliked_hits,
              coalesce(sum(hit) / nullif(sum(ne), 0), 1.0) AS recall, coalesce(avg(CASE WHEN ne > 0 THEN coalesce(1.0 / first, 0.0) END), 1.0) AS mrr FROM a GROUP BY s, w, n)
 SELECT s AS min_score, w AS base_weight, n AS result_limit, false_injections, abstention_failures, disliked_hits, round(recall, 6) AS recall, round(mrr, 6) AS mrr,
-       CAST(row_number() OVER (ORDER BY false_injections, abstention_failures, disliked_hits, recall DESC, mrr DESC, s DESC, w, n) AS INTEGER) AS place FROM m
+       CAST(row_number() OVER (ORDER BY false_injections, abstention_failures, disliked_hits, round(recall, 12) DESC, round(mrr, 12) DESC, s DESC, w, n) AS INTEGER) AS place FROM m
 """
 
 

@@ -33,6 +33,8 @@ def fetch_files(spark: SparkSession, folder: str, probes: DataFrame) -> DataFram
 
 def probe_git(spark: SparkSession, repository: str, ref: str, connector: str, project: str = "") -> DataFrame:
     """One row for each file of a tree at a ref, its version the blob's hash; only the tree is listed, on the driver."""
+    if ref.startswith("-"):
+        raise ValueError(f"no ref: {ref}")
     listed = subprocess.run(["git", "-C", repository, "ls-tree", "-r", "-l", "-z", ref], capture_output=True, check=True).stdout.decode()
     rows = []
     for entry in filter(None, listed.split("\0")):

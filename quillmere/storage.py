@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Callable
@@ -79,3 +80,9 @@ def fingerprint(df: DataFrame) -> str:
     n, mixed = files.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor("h"), F.lit(0))).first()
     columns = df.sparkSession.range(1).select(F.xxhash64(F.lit(df.schema.json()))).first()[0]
     return f"{n:x}-{mixed & (1 << 64) - 1:016x}-{columns & (1 << 64) - 1:016x}"
+
+
+def plan_digest(df: DataFrame) -> str:
+    """A name for what a table's plan computes, whatever session writes it: numbers that a session gives to columns are left out."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return hashlib.sha256(re.sub(r"#\d+L?|(?<=[xyz])_\d+|@[0-9a-f]+", "", plan).encode()).hexdigest()[:16]
