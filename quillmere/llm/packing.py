@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from array import array
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillmere.llm.common import slices, utf8
+from quillmere.llm.tokens import words_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -92,7 +90,8 @@ def pack_lengths(lengths: list[int], capacity: int = 2048, fragment: int = 512)
 
     Items are cut into full windows; what is left of each is cut into fragments and spread
     over windows by differencing. The number of windows starts at the least that could hold
-    them and rises by one whenever a window exceeds its capacity, for groups of every size.
+    them; whenever windows exceed their capacity it rises by as many as what lies over would fill,
+    one at least, for groups of every size.
     """
     pieces, rest, sequence = [], [], 0
     for item, length in enumerate(lengths):
@@ -105,7 +104,8 @@ def pack_lengths(lengths: list[int], capacity: int = 2048, fragment: int = 512)
     windows = -(-sum(sizes) // capacity)
     while sizes:
         chosen = differencing(sizes, windows)
-        if np.bincount(chosen, weights=sizes, minlength=windows).max() <= capacity:
+        over = int(np.maximum(np.bincount(chosen, weights=sizes, minlength=windows) - capacity, 0).sum())
+        if not over:
             filled = [0] * windows
             for (item, start, length), w in sorted(zip(rest, chosen, strict=True), key=lambda x: x[1]):
                 last = pieces[-1] if pieces else None
@@ -115,72 +115,10 @@ def pack_lengths(lengths: list[int], capacity: int = 2048, fragment: int = 512)
                     pieces.append((item, start, length, sequence + w, filled[w]))
                 filled[w] += length
             break
-        windows += 1
+        windows += -(-over // capacity)
     return pieces
 
 
-def _marks_stand_alone(text: str) -> bool:
-    """No comma or full stop follows another mark (the tokenizer keeps runs of marks together), and no
-    letter's lower case depends on its place or is two characters."""
-    before = {piece[-1:] for piece in text.replace(".", ",").split(",")[:-1]}
-    return all(c.isalnum() or c.isspace() for c in before) and "\u03a3" not in text and "\u0130" not in text
-
-
-class WordEncoder:
-    """Ids of texts, word by word, with a bounded memory of words already encoded.
-
-    The tokenizer's splits never cross space, tab, newline or carriage return, so a text's ids
-    are those of its words in turn. It lower-cases and cuts between a letter and a mark, so a
-    text may be lower-cased first and a comma or full stop that follows no mark stands alone.
-    New words of letters are encoded together; each ends with its only id that ends a word.
-    """
-
-    def __init__(self, path: str, keep: int = 1_200_000, longest: int = 200):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.keep, self.longest, self.known = Tokenizer.from_file(path), keep, longest, {"": b""}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _one(self, word: str) -> bytes:
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def _together(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words of letters; of those that the tokenizer cuts otherwise, one by one."""
-        joined = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
-        ids = np.array(joined, "<u4")
-        ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
-        if len(ends) != len(words):
-            return {w: self._one(w) for w in words}
-        body, cuts = ids.tobytes(), (ends * 4).tolist()
-        return dict(zip(words, [body[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        if _marks_stand_alone(text) and is_normalized("NFC", text):
-            lower = text.lower()
-            if text.isascii() or is_normalized("NFC", lower):
-                text = lower.replace(",", " ,").replace(".", " .")
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of whole texts."""
-        split = [self.words(t) for t in texts]
-        every = set().union(*split)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > self.keep:
-            self.known, new = {"": b""}, every - {""}
-        plain = [w for w in new if w.isalpha() and len(w) <= self.longest]
-        for k in range(0, len(plain), 1000):
-            self.known.update(self._together(plain[k : k + 1000]))
-        long = {w: self._one(w) for w in new if w not in self.known}
-        self.known.update((w, b) for w, b in long.items() if len(w) <= self.longest)
-        if all(len(w) <= self.longest for w in long):
-            return [b"".join(map(self.known.__getitem__, w)) for w in split]
-        return [b"".join([long[x] if x in long else self.known[x] for x in w]) for w in split]
-
-
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, group_tokens: int = 1 << 20) -> DataFrame:
     """Pack every document of `docs` (doc_id, text) into sequences of at most `capacity` ids.
 
@@ -197,14 +135,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from pyspark import TaskContext
 
-        encoder, sequence = WordEncoder(tokenizer_path), TaskContext.get().partitionId() << 32
+        words, sequence = words_of(tokenizer_path, end_id), TaskContext.get().partitionId() << 32
         ids: list[bytes] = []
-        end_mark = array("I", [end_id]).tobytes()
         keys: list = []
         held = 0
 
@@ -229,13 +163,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
             return out
 
         for batch in batches:
-            _, offsets = utf8(batch.column(1))
-            for i, j in slices(offsets, 1 << 18):
-                texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
-                for key, own in zip(batch.column(0).slice(i, j - i).to_pylist(), encoder.encode(texts), strict=True):
-                    ids.append(own + end_mark)
+            for at, found, offsets in words.encode(batch.column(1)):
+                body = found.astype("<u4").tobytes()
+                for k, key in enumerate(batch.column(0).slice(at, len(offsets) - 1).to_pylist()):
+                    ids.append(body[4 * offsets[k] : 4 * offsets[k + 1]])
                     keys.append(key)
-                    held += len(own) // 4 + 1
+                    held += int(offsets[k + 1] - offsets[k])
                     if held >= group_tokens:
                         yield emit()
         if ids:

@@ -31,8 +31,6 @@ _U = np.uint64
 _ORDER0, _TOTAL = 20, 22  # bits of the sums of order-0 and of mixed chances
 _LEAST = 1 << _ORDER0  # of _TOTAL, what order 0 keeps: every id has a chance
 _TOP, _LOW = _U(48), _U((1 << 32) - 1)
-#: Confidence 0 to 3 of a slot after a miss and after a hit.
-_NEXT = np.array([[1, 1], [1, 2], [1, 3], [2, 3]], np.int64)
 
 
 class Model:
@@ -61,47 +59,56 @@ class Model:
     def look(self, last: np.ndarray, before: np.ndarray) -> None:
         """Predictions and weights for lanes whose last two ids are `last` and `before`."""
         self.places = (last * 40503 + (last >> 9)) & 0xFFFF, (last * 0x9E3779B1 + before * 0x85EBCA6B >> 13) & 0x3FFFF
-        one, two = (slots[place] for slots, place in zip(self.slots, self.places, strict=True))
-        self.guess, self.sure = (one >> 2, two >> 2), (one & 3, two & 3)
-        self.kind = self.sure[1] << 2 | self.sure[0]
-        mass = ((1 << _TOTAL) - _LEAST) * self.shares[:2] // self.shares.sum(axis=0)
-        self.weights = mass[0].astype(np.uint64)[self.kind], mass[1].astype(np.uint64)[self.kind]
-        self.rest = _U(1 << _TOTAL) - self.weights[0] - self.weights[1]
+        self.held = self.slots[0][self.places[0]], self.slots[1][self.places[1]]
+        self.guess = self.held[0] >> 2, self.held[1] >> 2
+        self.kind = (self.held[1] & 3) << 2 | self.held[0] & 3
+        mass = (((1 << _TOTAL) - _LEAST) * self.shares[:2] // self.shares.sum(axis=0)).astype(np.uint64)
+        self.weights = mass[0][self.kind], mass[1][self.kind]
+        self.rest = (_U(1 << _TOTAL) - mass[0] - mass[1])[self.kind]
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the ids' intervals, of 1 << _TOTAL."""
-        start, end = self.rest * self.below[ids] >> _U(_ORDER0), self.rest * self.below[ids + 1] >> _U(_ORDER0)
-        size = end - start
-        for guess, weight in zip(self.guess, self.weights, strict=True):
+        start = self.rest * self.below[ids] >> _U(_ORDER0)
+        size = (self.rest * self.below[ids + 1] >> _U(_ORDER0)) - start
+        self.hits = tuple(np.flatnonzero(guess == ids) for guess in self.guess)
+        for guess, weight, hit in zip(self.guess, self.weights, self.hits, strict=True):
             start += weight * (guess < ids)
-            size += weight * (guess == ids)
+            size[hit] += weight[hit]
         return start, size
 
     def find(self, target: np.ndarray) -> np.ndarray:
         """The ids in whose intervals the targets lie."""
-        left, out = target, None
+        left, here = target, []
         for k in (0, 1):
             guess, other, weight, more = self.guess[k], self.guess[1 - k], self.weights[k], self.weights[1 - k]
-            start, end = self.rest * self.below[guess] >> _U(_ORDER0), self.rest * self.below[guess + 1] >> _U(_ORDER0)
-            end += weight + more * (other <= guess)
+            end = (self.rest * self.below[guess + 1] >> _U(_ORDER0)) + weight
+            end += more * (other <= guess)
             past = target >= end
             left = left - weight * past
-            here = (target >= start + more * (other < guess)) & ~past
-            out = np.where(here, guess, 0) if out is None else np.where(here, guess, out)
-            known = here if k == 0 else known | here
+            start = (self.rest * self.below[guess] >> _U(_ORDER0)) + more * (other < guess)
+            here.append(np.flatnonzero((target >= start) & ~past))
         place = np.minimum(((left + _U(1) << _U(_ORDER0)) - _U(1)) // self.rest, _U((1 << _ORDER0) - 1))
-        return np.where(known, out, self.at[place.astype(np.int64)]).astype(np.int64)
+        out = self.at[place.astype(np.int64)].astype(np.int64)
+        for guess, k in zip(self.guess, here, strict=True):
+            out[k] = guess[k]
+        return out
 
     def learn(self, ids: np.ndarray, size: np.ndarray) -> None:
-        """Take in the ids of a step and the sizes of their intervals."""
+        """Take in the ids of a step and the sizes of their intervals.
+
+        A slot's confidence grows up to 3 when its id comes; another id takes its place if the
+        confidence is 0 or 1, else lowers it.
+        """
         came = np.bincount(self.kind, minlength=16) * 256
-        for k, (slots, place, guess, sure, weight) in enumerate(zip(self.slots, self.places, self.guess, self.sure, self.weights, strict=True)):
-            hit = guess == ids
-            own = np.flatnonzero(hit & (sure > 0))
-            part = np.bincount(self.kind[own], ((weight[own] << _U(8)) // size[own]).astype(np.float64), 16).astype(np.int64)
+        new = ids << 2 | 1
+        for k, (slots, place, held, weight, hit) in enumerate(zip(self.slots, self.places, self.held, self.weights, self.hits, strict=True)):
+            part = np.bincount(self.kind[hit], (weight[hit] << _U(8)) // size[hit], 16).astype(np.int64)
             self.shares[k] += part
             came -= part
-            slots[place] = np.where(hit | (sure > 1), guess, ids) << 2 | _NEXT[sure, hit.astype(np.int64)]
+            after = np.where(held & 2, held - 1, new)
+            same = held[hit]
+            after[hit] = same + ((same & 3) < 3)
+            slots[place] = after
         self.shares[2] += came
         if self.shares.max() > 1 << 32:
             self.shares -= self.shares >> 1

@@ -14,6 +14,8 @@ _KIND = np.full(256, 3, np.uint8)
 _KIND[[32, 9, 10, 13]] = 0
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
 _KIND[[44, 46]] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,6 +129,8 @@ class Words:
         self.n = m
 
     def _encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if b"<|" not in data.tobytes():  # the tokenizer lower-cases all but its special tokens
+            data = _LOWER[data]
         starts, ends, inside, first = cut_words(data, offsets)
         hashes = span_hashes(prefix_sums(data), starts, ends)
         rows = self._find(hashes)

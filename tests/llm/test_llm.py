@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,10 +346,13 @@ def test_packing_starts_from_the_least_count_at_every_size():
         assert -(-sum(mixed) // 2048) <= used <= -(-sum(mixed) // 2048) + max(1, n // 30)
 
 
-def test_word_encoder_equals_the_tokenizer():
-    e = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"), keep=20)
-    for x in ["It's DON'T we'll", "a..b, c., d,. ,. É ÉTÉ. <|endoftext|> x<|endoftext|>, ΣΑΣ Σ. İstanbul Ǆ 12,3 ﬁ éa.", "日本語。テスト, x　y z\x1cq\x85r", "'s 's. ''ll, l'été. ª º ⅷ", "", "\x00 a\x00b _,", "w" * 5000 + " , . a"]:
-        assert np.frombuffer(e.encode([x])[0], "<u4").tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids
+def test_words_equal_the_tokenizer():
+    from quillmere.llm.tokens import Words
+
+    e = Words(tokenizer_path("word_bpe_49k.json"), keep=20)
+    for x in ["It's DON'T we'll", "a..b, c., d,. ,. É ÉTÉ. <|endoftext|> x<|endoftext|>, ΣΑΣ Σ. İstanbul Ǆ 12,3 ﬁ éa.", "<|ENDOFTEXT|> A", "日本語。テスト, x　y z\x1cq\x85r", "'s 's. ''ll, l'été. ª º ⅷ", "", "\x00 a\x00b _,", "w" * 5000 + " , . a"]:
+        (_, ids, _), *_ = e.encode(pa.array([x]))
+        assert ids.tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("windows", [1, 2, 3, 7])
@@ -593,3 +597,15 @@ def test_pipeline_stages(spark):
     assert max(counts.values()) <= 2 and set(counts) <= set(cut)
     pieces = p.STAGES[4][1](spark, docs, sf).collect()
     check_pieces([(r.doc_id, r.text) for r in kept["mixing"]], pieces)
+
+
+# --------------------------------------------------------------------------- labelled samples
+
+
+def test_one_long_labelled_text_does_not_end_the_sample(spark):
+    from quillmere.llm import labelled
+
+    docs = frame(spark, [(k, "word " * (40_000 if k % 5 == 0 else 3), "") for k in range(40)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    drawn = labelled.sample(docs, labels, "toxic", (1000, 999), 1000, 20_000)
+    assert sorted(d for d, _, _ in drawn) == [k for k in range(40) if k % 5]
