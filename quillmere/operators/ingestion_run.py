@@ -73,7 +73,8 @@ def run(spark: SparkSession, connector: Connector, path: str, policy: str = PERS
     todo = states.where("action <> 'none' and state <> 'removed'").select("source_id")
     chosen = todo if limit is None else todo.orderBy("source_id").limit(limit)
     truncated = limit is not None and todo.count() > limit
-    texts = connector.normalised(connector.contents(spark, chosen))
+    contents = settle(connector.contents(spark, chosen), "contents")  # read once: a source may change meanwhile
+    texts = connector.normalised(contents)
     plain = texts.withColumn("content_hash", F.sha2("content", 256))
     if policy == NONE:
         plain = plain.withColumn("redacted", F.col("text")).withColumn("redactions", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))
@@ -115,7 +116,7 @@ def run(spark: SparkSession, connector: Connector, path: str, policy: str = PERS
     kept = settle(before.join(good.select("source_id"), "source_id", "left_anti").unionByName(good.select("source_id", F.col("redacted").alias("text"))), "texts")
     store.write(kept, f"{path}/texts")
     generation = store.write(after, f"{path}/manifests", generation=generation)
-    for df in (old, probes, states, fetched, kept):
+    for df in (old, probes, states, contents, fetched, kept):
         discard(df)
     return Run(counters, done, after, generation, connector.complete and not truncated, counters["failed"])
 

@@ -45,6 +45,7 @@ def depths(rows: DataFrame) -> DataFrame:
     one id the first line is what their children hang on.
     """
     keys = ["source_id", "session"]
+    rows = settle(rows, "records")
     first = rows.groupBy(*keys, "id").agg(F.min("line").alias("line"), F.min_by("parent", "line").alias("parent"))
     there = first.select(*keys, F.col("id").alias("parent"))
     linked = first.join(there.withColumn("_there", F.lit(True)), [*keys, "parent"], "left")
