@@ -2,10 +2,10 @@
 
 import pytest
 
-from quillmere.plans import governed, heart, records, search
+from quillmere.plans import governed, heart, places, records, search
 
-CORE = {**search.QUERIES, **heart.QUERIES, **governed.QUERIES, **records.QUERIES}
-SQL = {**search.ORACLE_SQL, **heart.ORACLE_SQL, **governed.ORACLE_SQL, **records.ORACLE_SQL}
+CORE = {**search.QUERIES, **heart.QUERIES, **governed.QUERIES, **records.QUERIES, **places.QUERIES}
+SQL = {**search.ORACLE_SQL, **heart.ORACLE_SQL, **governed.ORACLE_SQL, **records.ORACLE_SQL, **places.ORACLE_SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
