@@ -54,7 +54,7 @@ class Model:
         self.below = np.zeros(self.vocabulary + 1, np.uint64)
         np.cumsum(own, out=self.below[1:])
         if self.decoding:
-            self.at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), own)
+            self.at = np.repeat(np.arange(self.vocabulary, dtype=np.uint16 if self.vocabulary <= 1 << 16 else np.int32), own)
 
     def look(self, last: np.ndarray, before: np.ndarray) -> None:
         """Predictions and weights for lanes whose last two ids are `last` and `before`."""
@@ -134,7 +134,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     first, length = _lanes(len(ids))
     steps, model = int(length[0]), Model(vocabulary, False)
     low, span = np.zeros(len(first), np.uint64), np.full(len(first), (1 << 64) - 1, np.uint64)
-    out, filled = np.zeros((len(first), 2 * steps + 8), np.uint16), np.zeros(len(first), np.int64)
+    out, filled = np.zeros((2 * steps + 8, len(first)), np.uint16), np.zeros(len(first), np.int64)  # word, lane: lanes fill alike
     last = before = np.zeros(len(first), np.int64)
     for t in range(steps):
         n = len(first) if t + 1 < steps else int((length == steps).sum())
@@ -150,7 +150,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
             if not len(go):
                 break
             lane, same, now, wide = go if lane is None else lane[go], same[go], now[go], wide[go]
-            out[lane, filled_t[lane]] = now >> _TOP
+            out[filled_t[lane], lane] = now >> _TOP
             filled_t[lane] += 1
             wide, now = np.where(same, wide, -now & _LOW) << _U(16), now << _U(16)
             span_t[lane], low_t[lane] = wide, now
@@ -160,9 +160,9 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     lane = np.arange(len(first))
     end = low + _LOW  # rounded up to a multiple of 1 << 32, it lies in the interval
     for shift in (_U(48), _U(32)):
-        out[lane, filled] = end >> shift & _U(0xFFFF)
+        out[filled, lane] = end >> shift & _U(0xFFFF)
         filled += 1
-    payload = filled.astype("<u4").tobytes() + out[np.arange(out.shape[1]) < filled[:, None]].astype("<u2").tobytes()
+    payload = filled.astype("<u4").tobytes() + out.T[np.arange(len(out)) < filled[:, None]].astype("<u2").tobytes()
     head = _HEADER.pack(MAGIC, VERSION, vocabulary, len(ids), len(first), int(filled.sum()), zlib.crc32(ids.astype("<u4").tobytes()), 0)[:-4]
     return head + struct.pack("<I", zlib.crc32(payload, zlib.crc32(head))) + payload
 

@@ -90,28 +90,52 @@ class Words:
             open_ = open_[(found != 0) & (self.hashes[found] != hashes[open_])]
         return out
 
-    def _encoded(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words; those of letters together, since each ends with its only id that ends a word."""
-        out: list = [None] * len(words)
-        plain = [k for k, w in enumerate(words) if w.isalpha() and len(w) <= 200]
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            joined = self.tokenizer.encode_batch_fast([" ".join(words[k] for k in part)], add_special_tokens=False)[0].ids
-            ids = np.array(joined, np.uint32)
-            ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
-            if len(ends) == len(part):
-                for k, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    out[k] = ids[a:b]
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = np.frombuffer(array("I", x.ids), np.uint32)
-        return out
+    def _together(self, text: str, count: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words of letters with single blanks between them, and how many each has: it ends with its only id that ends a word. None if they are not `count`."""
+        ids = np.frombuffer(array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids), np.uint32)
+        ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == count else None
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [array("I", x.ids) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.frombuffer(b"".join(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the words, and in that order their ids laid end to end and how many each has."""
+        size = ends - starts
+        others = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(_KIND[data] != 1, out=others[1:])
+        digits = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data >= 48) & (data <= 57), out=digits[1:])
+        ascii_ = (others[ends] == others[starts]) & (digits[ends] == digits[starts]) & (size <= 200)
+        order, ids, lengths = [], [], []
+
+        def put(chosen: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> None:
+            order.append(chosen)
+            ids.append(found[0])
+            lengths.append(found[1])
+
+        word = lambda k: data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace")
+        plain = np.flatnonzero(ascii_)
+        for at in range(0, len(plain), 4000):
+            part = plain[at : at + 4000]
+            room = np.cumsum(size[part] + 1) - size[part] - 1
+            joined = np.full(int(size[part].sum()) + len(part), 32, np.uint8)
+            joined[spread(room, size[part])] = data[spread(starts[part], size[part])]
+            put(part, self._together(joined[:-1].tobytes().decode(), len(part)) or self._one_by_one([word(k) for k in part]))
+        rest = [(k, word(k)) for k in np.flatnonzero(~ascii_)]
+        letters = [(k, w) for k, w in rest if w.isalpha() and len(w) <= 200]
+        for at in range(0, len(letters), 1000):
+            part = letters[at : at + 1000]
+            put(np.array([k for k, _ in part]), self._together(" ".join(w for _, w in part), len(part)) or self._one_by_one([w for _, w in part]))
+        mixed = [(k, w) for k, w in rest if not (w.isalpha() and len(w) <= 200)]
+        put(np.array([k for k, _ in mixed], np.int64), self._one_by_one([w for _, w in mixed]))
+        return np.concatenate(order), np.concatenate(ids), np.concatenate(lengths)
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         """Take up words whose hashes are new and differ."""
-        size = ends - starts
-        ids = self._encoded([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-        lengths = np.array([len(x) for x in ids], np.int64)
+        order, ids, lengths = self._encoded(data, starts, ends)
+        starts, hashes, size = starts[order], hashes[order], (ends - starts)[order]
         n, m = self.n, self.n + len(starts)
         self.hashes, self.place, self.ids_at = (self._grown(x, m + 1) for x in (self.hashes, self.place, self.ids_at))
         self.hashes[n:m] = hashes
@@ -119,7 +143,7 @@ class Words:
         self.ids_at[n + 1 : m + 1] = self.ids_at[n] + np.cumsum(lengths)
         self.body, self.ids = self._grown(self.body, int(self.place[m])), self._grown(self.ids, int(self.ids_at[m]))
         self.body[self.place[n] : self.place[m]] = data[spread(starts, size)]
-        self.ids[self.ids_at[n] : self.ids_at[m]] = np.concatenate(ids) if ids else []
+        self.ids[self.ids_at[n] : self.ids_at[m]] = ids
         left, slot = np.arange(n, m), (hashes & np.uint64(self.slots - 1)).astype(np.int64)
         while len(left):  # of those that want the same free slot the last has it
             free = self.rows[slot] == 0
@@ -153,10 +177,11 @@ class Words:
         begin, length = ids_at[rows], ids_at[rows + 1] - ids_at[rows]
         ids = self.ids
         if wrong.any():  # other words have their hash
-            own = self._encoded([data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace") for k in np.flatnonzero(wrong)])
-            length[wrong] = [len(x) for x in own]
-            begin[wrong] = ids_at[self.n] + np.cumsum(length[wrong]) - length[wrong]
-            ids = np.concatenate([ids[: ids_at[self.n]], *own])
+            bad = np.flatnonzero(wrong)
+            order, own, n = self._encoded(data, starts[bad], ends[bad])
+            length[bad[order]] = n
+            begin[bad[order]] = ids_at[self.n] + np.cumsum(n) - n
+            ids = np.concatenate([ids[: ids_at[self.n]], own])
         if self.end_id is not None:
             begin, length = np.insert(begin, first[1:], 0), np.insert(length, first[1:], 1)
             first = first + np.arange(len(first))
