@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmere.functions import access, scores, text
 from quillmere.operators import embeddings, packet
 from quillmere.operators.index import Index, Substrings
-from quillmere.operators.retrieval import dense_candidates, packed
+from quillmere.operators.retrieval import dealt, dense_candidates, meet, packed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -216,8 +216,8 @@ def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
                     docs += [doc["doc_id"]] * len(good)
                 yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(docs, pa.int64())], names=["item_id", "doc_id"])
 
-    met = packed(asked, "item_id", "passages", ("tokens",), 256).crossJoin(packed(docs, "doc_id", "rows", ("hay",), 256))
-    return met.mapInArrow(judged, "item_id long, doc_id long")
+    passages, parts = dealt(asked, "item_id", "passages", ("tokens",), 256)
+    return meet(passages, packed(docs, "doc_id", "rows", ("hay",), 256), parts).mapInArrow(judged, "item_id long, doc_id long")
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
