@@ -53,7 +53,7 @@ class Words:
     the end of a text.
     """
 
-    def __init__(self, path: str, end_id: int | None = None, keep: int = 1_500_000, keep_bytes: int = 1 << 25):
+    def __init__(self, path: str, end_id: int | None = None, keep: int = 400_000, keep_bytes: int = 1 << 23):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.keep, self.keep_bytes = Tokenizer.from_file(path), end_id, keep, keep_bytes
@@ -200,11 +200,17 @@ _memory: dict[tuple, Words] = {}
 
 
 def words_of(path: str, end_id: int | None = None) -> Words:
-    """The memory of words of this worker process, which its tasks share."""
+    """The memory of words of this worker process, which its tasks share. What earlier work of the process left unused goes back first."""
+    import ctypes
+    import gc
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (path, end_id) not in _memory:
         _memory.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
         _memory[path, end_id] = Words(path, end_id)
     return _memory[path, end_id]
