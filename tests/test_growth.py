@@ -27,3 +27,24 @@ def test_a_hub_is_counted_once_for_all_who_share_it(spark):
     start = spark.range(20_000).select(F.col("id").alias("query_id"), F.concat(F.lit("leaf:"), "id").alias("id"))
     rows = graph.expand_counts(start, leaves, _name, 2).groupBy("depth", "kind", "n", "score").count()  # 400 million pairs if each request had its own
     assert sorted(map(tuple, rows.collect())) == [(1, "hub", 1, 0.6, 20_000), (2, "leaf", 19_999, 0.36, 20_000)]
+
+
+def test_prompts_meet_items_without_a_row_for_each_pair(spark):
+    items = spark.createDataFrame([(f"k_{n}", f"alpha w{n % 3}", "", "en" if n % 2 else None, None if n % 50 == 49 else n % 10 / 10) for n in range(400)] + [("k_7", "alpha again", "", "en", 0.7)], "id string, title string, summary string, domain string, confidence double")
+    prompts = spark.createDataFrame([(n, ["alpha w1 en", "alpha w2", "show knowledge", "nothing here", "alpha k_7 again"][n % 5]) for n in range(300)] + [(1, "alpha w2"), (8, "en")], "query_id int, task string")
+    from quillmere.functions import text
+    from quillmere.operators import embeddings
+
+    terms = lambda df, key, *c: df.select(key, F.explode(F.array_distinct(text.terms(F.concat_ws(" ", *c)))).alias("term"))
+    pairs = terms(prompts, "query_id", "task").where(~F.col("term").isin(*embeddings.STOP_TERMS)).join(terms(items, "id", "id", "title", "summary", "domain"), "term").groupBy("query_id", "id").count()
+    sure = {r.id: r.confidence for r in items.collect()}
+    want = {}
+    for r in pairs.collect():
+        want.setdefault(r.query_id, []).append((-r["count"], sure[r.id] is None, -(sure[r.id] or 0), r.id))
+    got = {}
+    found = embeddings.filter_catalogue(items, prompts)
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((-r.hits, r.id))
+    free = [(0, f"k_{n}") for n in sorted((n for n in range(400) if n % 10 == 9 and n % 50 != 49), key=str)[:5]]
+    assert got == {**{q: [(r[0], r[3]) for r in sorted(v)[:5]] for q, v in want.items()}, **{n: free for n in range(2, 300, 5)}}
+    assert "Join Inner, (term" not in found._jdf.queryExecution().optimizedPlan().toString()  # a row for each prompt, item and term
