@@ -48,3 +48,13 @@ def test_prompts_meet_items_without_a_row_for_each_pair(spark):
     free = [(0, f"k_{n}") for n in sorted((n for n in range(400) if n % 10 == 9 and n % 50 != 49), key=str)[:5]]
     assert got == {**{q: [(r[0], r[3]) for r in sorted(v)[:5]] for q, v in want.items()}, **{n: free for n in range(2, 300, 5)}}
     assert "Join Inner, (term" not in found._jdf.queryExecution().optimizedPlan().toString()  # a row for each prompt, item and term
+
+
+def test_texts_of_an_index_are_not_one_tasks_to_sort(spark, tmp_path):
+    from quillmere.operators.index import Index
+
+    docs = spark.range(0, 400, 1, 4).select("id", F.concat_ws(" ", F.lit("common"), F.concat(F.lit("w"), "id"), F.repeat(F.lit("filler "), 50)).alias("text"))
+    index = Index.build(docs, {"body": F.col("text")}, evidence=F.col("text"), path=f"{tmp_path}/i")
+    assert len(list((tmp_path / "i" / "bucket=-1").glob("*.parquet"))) == 4
+    assert sorted(i for r in index.table.where("bucket = -1").collect() for i in r.ids) == list(range(400))
+    assert index.table.where("term = 'common'").agg(F.sum("df")).first()[0] == 400
