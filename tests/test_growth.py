@@ -58,3 +58,31 @@ def test_texts_of_an_index_are_not_one_tasks_to_sort(spark, tmp_path):
     assert len(list((tmp_path / "i" / "bucket=-1").glob("*.parquet"))) == 4
     assert sorted(i for r in index.table.where("bucket = -1").collect() for i in r.ids) == list(range(400))
     assert index.table.where("term = 'common'").agg(F.sum("df")).first()[0] == 400
+
+
+def test_lists_of_matching_labels_agree_with_tests_of_every_pair(spark):
+    from quillmere.functions import access
+    from quillmere.operators import retrieval
+
+    labels = ["", "-", "/", "/foo", "-/foo", "a", "A b", "a-b", "a/b", "a_b/c", "b/a", "Topic 3", "topic_3", "topic-3/x", "3", "--", "//a", None]
+    docs = spark.createDataFrame([(f"d{n}", x, [labels[n - 1]], [labels[n - 5]], [labels[n - 7]] if n % 3 else []) for n, x in enumerate(labels)], "id string, domain string, related_domains array<string>, alias_values array<string>, scenario_ids array<string>")
+    asked = spark.createDataFrame([(f"q{n}", f"see {x} and topic_3/a", [x] if n % 2 else [], [labels[n - 3], "a"] if n % 3 else []) for n, x in enumerate(labels)], "query_id string, task string, domains array<string>, scenarios array<string>")
+    both = retrieval.with_matching(asked, docs).crossJoin(docs)
+    own = F.concat(F.array("domain"), "related_domains")
+    tests = [(own, "domains", "path_domains", access.domain_matches), (F.col("alias_values"), "domains", "like_domains", access.fuzzy_matches), (F.concat("scenario_ids", "alias_values"), "scenarios", "like_scenarios", access.fuzzy_matches)]
+    rows = both.select(*[F.struct(access.any_pair(mine, F.col(theirs), test), retrieval._any_of(mine, F.col(found))).alias(found) for mine, theirs, found, test in tests])
+    assert [tuple(x) for r in rows.collect() for x in r if x[0] != x[1]] == []
+    shares = {(r.query_id, r.id): r.share for r in retrieval.alias_shares(docs, asked).collect()}
+    for r in asked.crossJoin(docs).select("query_id", "id", access.alias_coverage(F.col("alias_values"), F.col("task")).alias("share")).collect():
+        assert shares.get((r.query_id, r.id), 0.0) == (r.share or 0.0)
+
+
+def test_scores_of_labels_without_pairs_are_those_of_all_pairs(spark):
+    from quillmere.operators import retrieval
+
+    none = "cast(array() as array<string>)"
+    docs = spark.range(30).selectExpr("concat('d', id) as id", "concat('en/s', id % 5) as domain", f"{none} as related_domains", "cast(array() as array<struct<value: string, weight: double>>) as aliases", "array(named_struct('id', concat('t ', id % 3), 'weight', 0.5D)) as scenarios", "cast(null as array<struct<value: string, weight: double, retrieval: boolean>>) as tags")
+    asked = spark.createDataFrame([("q1", "about en/s1 and t 2", [], []), ("q2", "nothing", [], ["T_1"]), ("q3", "", [], [])], "query_id string, task string, domains array<string>, scenarios array<string>")
+    pairs = docs.select("id").crossJoin(asked.select("query_id"))
+    rows = lambda p: sorted((r.query_id, r.id, round(r.metadata, 9)) for r in retrieval.metadata_scores(p, docs, asked).collect())
+    assert rows(None) == rows(pairs) != []
