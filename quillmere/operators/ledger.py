@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,24 +62,25 @@ class Chain:
 
     def add(self, event: dict) -> dict:
         """The record of an event (with its input_hash): appended, duplicate (same key, same input), conflict, unknown_parent, repeated_id or invalid_stage."""
-        own = event["input_hash"]
-        out = {**event, "sequence": None, "previous_hash": None, "record_hash": None}
-        key = event.get("idempotency_key")
-        if event["stage"] not in STAGES.get(event["stream_type"], ()):
-            return {**out, "outcome": "invalid_stage"}
+        outcome, sequence, previous, mark = self.place(event["stream_type"], event["stage"], event.get("idempotency_key"), event.get("parent_event_id"), event["event_id"], event["timestamp"], event["input_hash"])
+        return {**event, "sequence": sequence, "previous_hash": previous, "record_hash": mark, "outcome": outcome}
+
+    def place(self, kind: str | None, stage: str | None, key: str | None, parent: str | None, name: str | None, time: str | None, own: str) -> tuple[str, int | None, str | None, str | None]:
+        """(outcome, sequence, previous_hash, record_hash) of an event."""
+        if stage not in STAGES.get(kind, ()):
+            return "invalid_stage", None, None, None
         if key is not None and key in self.keys:
-            return {**out, "outcome": "duplicate" if self.keys[key] == own else "conflict"}
-        if event.get("parent_event_id") and event["parent_event_id"] not in self.ids:
-            return {**out, "outcome": "unknown_parent"}
-        if event["event_id"] in self.ids:
-            return {**out, "outcome": "repeated_id"}
-        out |= {"sequence": self.count + 1, "previous_hash": self.last, "outcome": "appended"}
-        out["record_hash"] = record_hash(self.last, self.count + 1, event["event_id"], event["timestamp"], own)
-        self.last, self.count = out["record_hash"], self.count + 1
-        self.ids.add(event["event_id"])
+            return "duplicate" if self.keys[key] == own else "conflict", None, None, None
+        if parent and parent not in self.ids:
+            return "unknown_parent", None, None, None
+        if name in self.ids:
+            return "repeated_id", None, None, None
+        previous, self.count = self.last, self.count + 1
+        self.last = record_hash(previous, self.count, name, time, own)
+        self.ids.add(name)
         if key is not None:
             self.keys[key] = own
-        return out
+        return "appended", self.count, previous, self.last
 
 
 def append(ledger: DataFrame | None, events: DataFrame) -> DataFrame:
@@ -93,20 +95,20 @@ def append(ledger: DataFrame | None, events: DataFrame) -> DataFrame:
     known = ("stream_type", "stream_id", "idempotency_key", "event_id")
     both = new if ledger is None else new.unionByName(ledger.select(*[F.col(c) if c in known else F.lit(None).cast(shape[c]).alias(c) for c in names], "sequence", "input_hash", "record_hash"))
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        chain, out = Chain(), []
-        old = group[group["sequence"].notna()].sort_values("sequence")
-        for r in old.itertuples():
-            chain.last, chain.count = r.record_hash, int(r.sequence)
-            chain.ids.add(r.event_id)
-            if r.idempotency_key is not None:
-                chain.keys[r.idempotency_key] = r.input_hash
-        for r in group[group["sequence"].isna()].sort_values(["timestamp", "event_id"]).to_dict("records"):
-            event = {k: (list(r[k]) if k == "project_keys" and r[k] is not None else r[k]) for k in [*names, "input_hash"]}
-            out.append(chain.add(event))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")])
-
-    return both.groupBy("stream_type", "stream_id").applyInPandas(work, RECORD)
+    def work(group: pa.Table) -> pa.Table:
+        chain, known = Chain(), pc.is_valid(group["sequence"])
+        old, new = group.filter(known).sort_by("sequence"), group.filter(pc.invert(known)).sort_by([("timestamp", "ascending"), ("event_id", "ascending")])
+        each = lambda rows, *columns: zip(*[rows[c].to_pylist() for c in columns], strict=True)
+        for chain.last, chain.count, name, key, own in each(old, "record_hash", "sequence", "event_id", "idempotency_key", "input_hash"):
+            chain.ids.add(name)
+            if key is not None:
+                chain.keys[key] = own
+        placed = [chain.place(*event) for event in each(new, "stream_type", "stage", "idempotency_key", "parent_event_id", "event_id", "timestamp", "input_hash")]
+        text = new.schema.field("input_hash").type
+        outcome, sequence, previous, mark = (pa.array([p[k] for p in placed], pa.int64() if k == 1 else text) for k in range(4))
+        return pa.table([*[new[c] for c in names], sequence, new["input_hash"], previous, mark, outcome], names=[c.split()[0] for c in RECORD.split(", ")])
+
+    return both.groupBy("stream_type", "stream_id").applyInArrow(work, RECORD)
 
 
 def verify(ledger: DataFrame) -> DataFrame:
