@@ -86,3 +86,26 @@ def test_scores_of_labels_without_pairs_are_those_of_all_pairs(spark):
     pairs = docs.select("id").crossJoin(asked.select("query_id"))
     rows = lambda p: sorted((r.query_id, r.id, round(r.metadata, 9)) for r in retrieval.metadata_scores(p, docs, asked).collect())
     assert rows(None) == rows(pairs) != []
+
+
+def test_a_ledger_is_made_once_to_be_verified(spark, tmp_path, monkeypatch):
+    from quillmere.operators import ledger
+    from quillmere.plans import governed
+
+    kinds = ["support", "initiative", "other"]
+    rows = [(kinds[n % 3], f"s{n % 2}", ["query", "review", "nonsense"][n % 5 % 3], "t", f"x{n % 7}", ["b", "a"] if n % 4 else None, "o", "m", f"e{n - 6}" if n % 6 == 5 else None, None, f"k{n % 9}" if n % 3 else None, f"e{n % 50}", f"{n % 11:03d}" if n % 13 else None) for n in range(60)]
+    events = spark.createDataFrame(rows, ledger.EVENT_INPUT)
+    first, rest = events.where("event_id < 'e3'"), events.where("event_id >= 'e3'")
+    kept = ledger.append(None, first).where("outcome = 'appended'")
+    got = [r.asDict() for r in ledger.append(kept, rest).collect()]
+    chains = {}
+    order = lambda r: (r.timestamp is None, r.timestamp or "", r.event_id)
+    want = []
+    for part in (first, rest):
+        want = []
+        for r in sorted(part.withColumn("input_hash", ledger.input_hash()).collect(), key=order):
+            want.append(chains.setdefault((r.stream_type, r.stream_id), ledger.Chain()).add(r.asDict()))
+    key = lambda r: tuple(map(str, (r["stream_type"], r["stream_id"], r["timestamp"], r["event_id"], r["outcome"], r["sequence"], r["record_hash"], r["previous_hash"], r["input_hash"], r["project_keys"])))
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    spark.sql("select 1L event_id, 2L user_id, timestamp'2025-01-01' ts, 'view' event_type, 'p' props").write.parquet(f"{tmp_path}/events.parquet")
+    assert "FlatMapGroups" not in governed.ledger_verify(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
