@@ -33,6 +33,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 VERSION = 1
+#: Rows that a reader holds at once, however many its file has; they may hold whole texts.
+READ_ROWS = 1024
 
 
 class StaleGeneration(RuntimeError):
@@ -165,7 +167,7 @@ class Reader(DataSourceReader):
         if not os.path.exists(place) or _sha256(place) != file.sha256:
             raise ValueError(f"{file.name} is missing or is not what was written")
         rows = 0
-        for batch in pq.ParquetFile(place).iter_batches():
+        for batch in pq.ParquetFile(place).iter_batches(READ_ROWS):
             rows += batch.num_rows
             yield batch
         if rows != file.rows:

@@ -109,3 +109,18 @@ def test_a_ledger_is_made_once_to_be_verified(spark, tmp_path, monkeypatch):
     assert sorted(map(key, got)) == sorted(map(key, want))
     spark.sql("select 1L event_id, 2L user_id, timestamp'2025-01-01' ts, 'view' event_type, 'p' props").write.parquet(f"{tmp_path}/events.parquet")
     assert "FlatMapGroups" not in governed.ledger_verify(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_store_is_read_in_small_batches(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quillmere.sources import store
+
+    (tmp_path / "parts" / "w").mkdir(parents=True)
+    place = tmp_path / "parts" / "w" / "a.parquet"
+    pq.write_table(pa.table({"n": list(range(5000))}), place)
+    file = store.File("w/a.parquet", 5000, store._sha256(str(place)))
+    batches = list(store.Reader(str(tmp_path), {"files": []}).read(file))
+    assert max(b.num_rows for b in batches) <= 1024
+    assert [n for b in batches for n in b.column(0).to_pylist()] == list(range(5000))
