@@ -30,7 +30,7 @@ _HEADER = struct.Struct("<4sBIIIIII")
 _U = np.uint64
 _ORDER0, _TOTAL = 20, 22  # bits of the sums of order-0 and of mixed chances
 _LEAST = 1 << _ORDER0  # of _TOTAL, what order 0 keeps: every id has a chance
-_TOP, _LOW = _U(48), _U((1 << 32) - 1)
+_TOP, _SAME, _LOW = _U(48), _U(1 << 48), _U((1 << 32) - 1)
 
 
 class Model:
@@ -51,7 +51,7 @@ class Model:
         free = (1 << _ORDER0) - self.vocabulary
         own = 1 + self.counts * free // max(int(self.counts.sum()), 1)
         own[int(self.counts.argmax())] += (1 << _ORDER0) - int(own.sum())
-        self.below = np.zeros(self.vocabulary + 1, np.uint64)
+        self.below = np.zeros(self.vocabulary + 1, np.int64)
         np.cumsum(own, out=self.below[1:])
         if self.decoding:
             self.at = np.repeat(np.arange(self.vocabulary, dtype=np.uint16 if self.vocabulary <= 1 << 16 else np.int32), own)
@@ -60,38 +60,40 @@ class Model:
         """Predictions and weights for lanes whose last two ids are `last` and `before`."""
         self.places = (last * 40503 + (last >> 9)) & 0xFFFF, (last * 0x9E3779B1 + before * 0x85EBCA6B >> 13) & 0x3FFFF
         self.held = self.slots[0][self.places[0]], self.slots[1][self.places[1]]
-        self.guess = self.held[0] >> 2, self.held[1] >> 2
-        self.kind = (self.held[1] & 3) << 2 | self.held[0] & 3
-        mass = (((1 << _TOTAL) - _LEAST) * self.shares[:2] // self.shares.sum(axis=0)).astype(np.uint64)
+        self.guess = tuple((held >> 2).astype(np.int64) for held in self.held)  # indices are taken faster as they are than narrower
+        self.kind = ((self.held[1] & 3) << 2 | self.held[0] & 3).astype(np.int64)
+        mass = ((1 << _TOTAL) - _LEAST) * self.shares[:2] // self.shares.sum(axis=0)
         self.weights = mass[0][self.kind], mass[1][self.kind]
-        self.rest = (_U(1 << _TOTAL) - mass[0] - mass[1])[self.kind]
+        self.rest = ((1 << _TOTAL) - mass[0] - mass[1])[self.kind]
 
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the ids' intervals, of 1 << _TOTAL."""
-        start = self.rest * self.below[ids] >> _U(_ORDER0)
-        size = (self.rest * self.below[ids + 1] >> _U(_ORDER0)) - start
+    def interval(self, ids: np.ndarray, added: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the ids' intervals, of 1 << _TOTAL. `added`: the weights of guesses below the ids, if they are known."""
+        start = self.rest * self.below[ids] >> _ORDER0
+        size = (self.rest * self.below[ids + 1] >> _ORDER0) - start
         self.hits = tuple(np.flatnonzero(guess == ids) for guess in self.guess)
         for guess, weight, hit in zip(self.guess, self.weights, self.hits, strict=True):
-            start += weight * (guess < ids)
+            if added is None:
+                start += weight * (guess < ids)
             size[hit] += weight[hit]
-        return start, size
+        return (start if added is None else start + added), size
 
-    def find(self, target: np.ndarray) -> np.ndarray:
-        """The ids in whose intervals the targets lie."""
-        left, here = target, []
+    def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids in whose intervals the targets lie, and the weights of guesses below them.
+
+        An id is not above a guess whose end is not passed. If it is that guess, what order 0 says
+        is the guess or above it, as the guess's weight is still in it; else order 0 is right.
+        """
+        left, most = target, []
         for k in (0, 1):
             guess, other, weight, more = self.guess[k], self.guess[1 - k], self.weights[k], self.weights[1 - k]
-            end = (self.rest * self.below[guess + 1] >> _U(_ORDER0)) + weight
+            end = (self.rest * self.below[guess + 1] >> _ORDER0) + weight
             end += more * (other <= guess)
             past = target >= end
             left = left - weight * past
-            start = (self.rest * self.below[guess] >> _U(_ORDER0)) + more * (other < guess)
-            here.append(np.flatnonzero((target >= start) & ~past))
-        place = np.minimum(((left + _U(1) << _U(_ORDER0)) - _U(1)) // self.rest, _U((1 << _ORDER0) - 1))
-        out = self.at[place.astype(np.int64)].astype(np.int64)
-        for guess, k in zip(self.guess, here, strict=True):
-            out[k] = guess[k]
-        return out
+            most.append(guess + past * self.vocabulary)
+        # The quotients are below 1 << 22 and their divisors too, so those of doubles are off by less than a quotient can miss an integer by.
+        place = np.minimum((((left + 1 << _ORDER0) - 1) / self.rest).astype(np.int64), (1 << _ORDER0) - 1)
+        return np.minimum(np.minimum(self.at[place], most[0]), most[1]), target - left
 
     def learn(self, ids: np.ndarray, size: np.ndarray) -> None:
         """Take in the ids of a step and the sizes of their intervals.
@@ -100,12 +102,12 @@ class Model:
         confidence is 0 or 1, else lowers it.
         """
         came = np.bincount(self.kind, minlength=16) * 256
-        new = ids << 2 | 1
+        new = (ids << 2 | 1).astype(np.int32)
         for k, (slots, place, held, weight, hit) in enumerate(zip(self.slots, self.places, self.held, self.weights, self.hits, strict=True)):
-            part = np.bincount(self.kind[hit], (weight[hit] << _U(8)) // size[hit], 16).astype(np.int64)
+            part = np.bincount(self.kind[hit], np.floor((weight[hit] << 8) / size[hit]), 16).astype(np.int64)
             self.shares[k] += part
             came -= part
-            after = np.where(held & 2, held - 1, new)
+            after = new + (held - 1 - new) * (held >> 1 & 1)
             same = held[hit]
             after[hit] = same + ((same & 3) < 3)
             slots[place] = after
@@ -128,40 +130,56 @@ def _lanes(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(length) - length, length
 
 
+def _turned(ids: np.ndarray, table: np.ndarray, length: np.ndarray, back: bool = False) -> np.ndarray:
+    """Copies ids lane by lane into a table of steps and lanes, or back; 16 steps at a time, as whole cache lines of each lane are used then."""
+    steps, long = len(table), int((length == len(table)).sum())
+    longer, shorter = ids[: long * steps].reshape(long, steps), ids[long * steps :].reshape(len(length) - long, max(steps - 1, 0))
+    for t in range(0, steps, 16):
+        for lanes, own in ((table[t : t + 16, :long], longer[:, t : t + 16]), (table[t : min(t + 16, steps - 1), long:], shorter[:, t : t + 16])):
+            if back:
+                own[:] = lanes.T
+            else:
+                lanes[:] = own.T
+    return ids if back else table
+
+
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """A block of ids (each below `vocabulary`)."""
     ids = np.ascontiguousarray(ids, np.int64)
     first, length = _lanes(len(ids))
     steps, model = int(length[0]), Model(vocabulary, False)
+    table = _turned(ids, np.zeros((steps, len(first)), np.int64), length)
     low, span = np.zeros(len(first), np.uint64), np.full(len(first), (1 << 64) - 1, np.uint64)
-    out, filled = np.zeros((2 * steps + 8, len(first)), np.uint16), np.zeros(len(first), np.int64)  # word, lane: lanes fill alike
+    out, spot = np.zeros((2 * steps + 8, len(first)), np.uint16), np.arange(len(first))  # word, lane: lanes fill alike
+    flat = out.reshape(-1)  # a lane's next word has its place at `spot`
     last = before = np.zeros(len(first), np.int64)
     for t in range(steps):
         n = len(first) if t + 1 < steps else int((length == steps).sum())
-        own, last, before, filled_t = ids[first[:n] + t], last[:n], before[:n], filled[:n]
+        own, last, before, spot_t = table[t, :n], last[:n], before[:n], spot[:n]
         model.look(last, before)
         start, size = model.interval(own)
         unit = span[:n] >> _U(_TOTAL)
-        low_t, span_t = low[:n] + unit * start, unit * size
+        low_t, span_t = low[:n] + unit * start.view(np.uint64), unit * size.view(np.uint64)
         lane, now, wide = None, low_t, span_t
         while True:
-            same = (now ^ (now + wide)) >> _TOP == 0
+            same = (now ^ (now + wide)) < _SAME
             go = np.flatnonzero(same | (wide <= _LOW))
             if not len(go):
                 break
             lane, same, now, wide = go if lane is None else lane[go], same[go], now[go], wide[go]
-            out[filled_t[lane], lane] = now >> _TOP
-            filled_t[lane] += 1
-            wide, now = np.where(same, wide, -now & _LOW) << _U(16), now << _U(16)
+            place = spot_t[lane]
+            flat[place] = now >> _TOP
+            spot_t[lane] = place + len(first)
+            wide, now = (wide if same.all() else np.where(same, wide, -now & _LOW)) << _U(16), now << _U(16)
             span_t[lane], low_t[lane] = wide, now
         low[:n], span[:n] = low_t, span_t
         model.learn(own, size)
         last, before = own, last
-    lane = np.arange(len(first))
     end = low + _LOW  # rounded up to a multiple of 1 << 32, it lies in the interval
     for shift in (_U(48), _U(32)):
-        out[filled, lane] = end >> shift & _U(0xFFFF)
-        filled += 1
+        flat[spot] = end >> shift & _U(0xFFFF)
+        spot += len(first)
+    filled = spot // len(first)
     payload = filled.astype("<u4").tobytes() + out.T[np.arange(len(out)) < filled[:, None]].astype("<u2").tobytes()
     head = _HEADER.pack(MAGIC, VERSION, vocabulary, len(ids), len(first), int(filled.sum()), zlib.crc32(ids.astype("<u4").tobytes()), 0)[:-4]
     return head + struct.pack("<I", zlib.crc32(payload, zlib.crc32(head))) + payload
@@ -179,45 +197,48 @@ def decode(block: bytes) -> np.ndarray:
         raise ValueError("block is damaged: its checksum differs")
     first, length = _lanes(n_ids)
     filled = np.frombuffer(payload, "<u4", lanes).astype(np.int64)
-    stop = np.cumsum(filled)
-    at = stop - filled
-    code_words = np.append(np.frombuffer(payload, "<u2", words, 4 * lanes).astype(np.uint64), _U(0))
+    steps, model = int(length[0]), Model(vocabulary, True)
+    if int(filled.sum()) != words or int(filled.max()) > 2 * steps + 8:
+        raise ValueError("block is damaged: its lanes' words differ from its words")
+    code_words = np.zeros((int(filled.max()) + 1, lanes), np.uint16)  # word, lane; zeros after a lane's words
+    code_words.T[np.arange(len(code_words)) < filled[:, None]] = np.frombuffer(payload, "<u2", words, 4 * lanes)
+    flat, spot, none = code_words.reshape(-1), np.arange(lanes), code_words.size - 1
 
     def take(lane: np.ndarray) -> np.ndarray:
-        out = np.where(at[lane] < stop[lane], code_words[np.minimum(at[lane], words)], _U(0))
-        at[lane] += 1
-        return out
+        place = spot[lane]
+        spot[lane] = place + lanes
+        return flat[np.minimum(place, none)].astype(np.uint64)
 
     lane = np.arange(lanes)
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
         code = code << _U(16) | take(lane)
-    steps, model = int(length[0]), Model(vocabulary, True)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out = np.zeros(n_ids, np.uint32)
+    table = np.zeros((steps, lanes), np.uint32)
     last = before = np.zeros(lanes, np.int64)
     for t in range(steps):
         n = lanes if t + 1 < steps else int((length == steps).sum())
         last, before, code_t = last[:n], before[:n], code[:n]
         model.look(last, before)
         unit = span[:n] >> _U(_TOTAL)
-        own = model.find(np.minimum((code_t - low[:n]) // unit, _U((1 << _TOTAL) - 1)))
-        out[first[:n] + t] = own
-        start, size = model.interval(own)
-        low_t, span_t = low[:n] + unit * start, unit * size
+        own, added = model.find(np.minimum((code_t - low[:n]) // unit, _U((1 << _TOTAL) - 1)).view(np.int64))
+        table[t, :n] = own
+        start, size = model.interval(own, added)
+        low_t, span_t = low[:n] + unit * start.view(np.uint64), unit * size.view(np.uint64)
         lane, now, wide = None, low_t, span_t
         while True:
-            same = (now ^ (now + wide)) >> _TOP == 0
+            same = (now ^ (now + wide)) < _SAME
             go = np.flatnonzero(same | (wide <= _LOW))
             if not len(go):
                 break
             lane, same, now, wide = go if lane is None else lane[go], same[go], now[go], wide[go]
             code_t[lane] = code_t[lane] << _U(16) | take(lane)
-            wide, now = np.where(same, wide, -now & _LOW) << _U(16), now << _U(16)
+            wide, now = (wide if same.all() else np.where(same, wide, -now & _LOW)) << _U(16), now << _U(16)
             span_t[lane], low_t[lane] = wide, now
         low[:n], span[:n] = low_t, span_t
         model.learn(own, size)
         last, before = own, last
+    out = _turned(np.zeros(n_ids, np.uint32), table, length, back=True)
     if zlib.crc32(out.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("block is damaged: its ids' checksum differs")
     return out

@@ -32,7 +32,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, bloc
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, file = words_of(tokenizer_path, end_id), TaskContext.get().partitionId()
+        # Four times the words of the default: fewer are met anew. An executor of two workers had 2,290 MB with them, 1,923 MB with the default.
+        words, file = words_of(tokenizer_path, end_id, keep=1_600_000, keep_bytes=1 << 24), TaskContext.get().partitionId()
         vocabulary = max(words.tokenizer.get_vocab_size(), end_id + 1)
         keys: list = []
         sizes: list[int] = []

@@ -109,3 +109,27 @@ def test_small_blocks_and_written_files(spark, tmp_path):
     back = sorted(token_files.read(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in back] == expected(sorted((r.doc_id, r.text) for r in docs.collect()))
     assert all(len(r.ids) == r.n_tokens and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in back)
+
+
+def test_signs_and_digits_make_no_new_words(spark):
+    import pyarrow as pa
+
+    words = Words(PATH, 1)
+    texts = [f"{a}{b}{k} {b}{a}{b}{k}{a} é{b} {a}É{b}{k}" for k in range(3000) for a, b in [("word it's dog".split()[k % 3], "*** && , . ### ' '' - _".split()[k % 9])]]
+    got = [ids[offsets[k] : offsets[k + 1]].tolist() for _, ids, offsets in words.encode(pa.array(texts)) for k in range(len(offsets) - 1)]
+    assert got == [[*words.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert words.n < 100  # of 12,000 words, each with a number of its own
+
+
+PARTS = ["'", "'s", "'T", "'ll", "'re", ",", ".", "!", "_", "a", "b", "Z", "s", "don", "7", "0", "é", "É", "ß", "ÿ", "×", "÷", "ø", "ü", "ç", "İ", "ñ", "²", "½", "́", "̸", "=", "<", "<|", "|>", "<|endoftext|>", "…", "“", "Σ", "ς", "漢", "　", "\x0b", "\x00", "\x85", " ", " ", "\n", "🙂", "x" * 70, "é" * 130]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), max_size=6))
+def test_words_of_odd_parts_have_the_tokenizers_ids(texts):
+    import pyarrow as pa
+
+    global odd
+    odd = globals().get("odd") or Words(PATH, 1, keep=300)
+    got = [ids[offsets[k] : offsets[k + 1]].tolist() for _, ids, offsets in odd.encode(pa.array(texts, pa.string()), 40) for k in range(len(offsets) - 1)]
+    assert got == [[*odd.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
