@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import discard, mix64, settle, shingle_sets, slices, utf8, word_hashes
+from quillmere.llm.common import discard, lean, mix64, settle, shingle_sets, slices, utf8, word_hashes
 from quillmere.llm.components import components
 
 _FOLD = mix64(np.arange(1, 1025, dtype=np.uint64))
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
                 )
 
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    sketched = settle(texts.mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, values binary"), "sketch")
+    sketched = settle(texts.mapInArrow(lean(sketch), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, values binary"), "sketch")
     classes = sketched.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n"), F.first("bands").alias("bands"), F.first("values").alias("values"))
     classes = settle(classes, "classes")
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -221,11 +221,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
             same = (whole[0] == whole[0][-1]) & (whole[1] == whole[1][-1]) & (whole[2] == whole[2][-1])
             last = int(np.argmax(same))
             kept = [x[last:] for x in whole]
-            yield likely([x[:last] for x in whole])
+            if last:
+                yield likely([x[:last] for x in whole])
         if kept is not None:
             yield likely(kept)
 
-    likely_links = met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "rep").mapInArrow(prune, "a long, b long").distinct()
+    likely_links = met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "rep").mapInArrow(lean(prune), "a long, b long").distinct()
     clusters = components(likely_links, "clusters")
     member = clusters.join(classes.groupBy("rep").agg((F.sum("n_shingles") + SET_COST).alias("_size")), F.col("node") == F.col("rep")).select("node", "component", "_size")
     sizes = member.groupBy("component").agg(F.ceil(F.sum("_size") / block_shingles).cast("int").alias("_blocks"))
@@ -268,8 +269,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
         if held:
             yield links()
 
-    groups = member.join(texts, F.col("node") == F.col("doc_id")).select("node", "cluster", "_blocks", "_block", "text").mapInArrow(deal, "cluster long, lo int, hi int, side int, node long, shingles binary")
-    links = groups.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node").mapInArrow(verify, "a long, b long")
+    groups = member.join(texts, F.col("node") == F.col("doc_id")).select("node", "cluster", "_blocks", "_block", "text").mapInArrow(lean(deal), "cluster long, lo int, hi int, side int, node long, shingles binary")
+    links = groups.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node").mapInArrow(lean(verify), "a long, b long")
     links = settle(links, "links")
     joined = components(links, "components")
     copies = classes.where("_n > 1").select("n_shingles", "set_a", "set_b", "rep")

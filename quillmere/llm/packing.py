@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillmere.llm.common import lean
 from quillmere.llm.tokens import words_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -174,4 +175,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
         if ids:
             yield emit()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, PIECES)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(work, keeps="words"), PIECES)

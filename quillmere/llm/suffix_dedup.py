@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import discard, mix64, prefix_sums, settle, slices, span_hashes, utf8
+from quillmere.llm.common import discard, lean, mix64, prefix_sums, settle, slices, span_hashes, utf8
 
 #: Bytes of the seed at a block's anchor.
 SEED = 20
@@ -323,7 +323,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
     keep = carry is not None
     extra = F.to_json(F.struct(F.col("text").isNull().alias("was_null"), F.struct(*(carry or ())).alias("carried"))) if carry else F.to_json(F.struct(F.col("text").isNull().alias("was_null")))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (extra if keep else F.lit(None).cast("string")).alias("extra"))
-    texts = settle(own.mapInArrow(number, "batch long, row long, doc_id long, text binary, extra string"), "texts")
+    texts = settle(own.mapInArrow(lean(number), "batch long, row long, doc_id long, text binary, extra string"), "texts")
     ranked = texts.select("batch", "row", "doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), "extra")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,11 +339,18 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
             loose = []
 
         def rows() -> pa.RecordBatch:
-            seed, deal, body, doc = (np.concatenate([h[k] for h in held]) for k in range(4))
-            part = (deal % np.uint64(parts)).astype(np.int64)
+            nonlocal held
+            columns, held = list(zip(*held, strict=True)), []
+            seed, deal, body, doc = (np.concatenate(columns.pop(0)) for _ in range(4))
+            part = (deal % np.uint64(parts)).astype(np.int32)
+            del deal
             body &= _BODY
-            order = np.lexsort((doc, body, seed, part)) if len(doc) else np.zeros(0, np.int64)
-            part, seed, body, doc = part[order], seed[order], body[order], doc[order]
+            order = (np.lexsort((doc, body, seed, part)) if len(doc) else np.zeros(0, np.int64)).astype(np.int32)
+            part = part[order]
+            seed = seed[order]
+            body = body[order]
+            doc = doc[order]
+            del order
             new = np.ones(len(doc), bool)
             new[1:] = (part[1:] != part[:-1]) | (seed[1:] != seed[:-1]) | (body[1:] != body[:-1])
             starts = np.flatnonzero(new)
@@ -399,7 +406,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(blobs, pa.binary())], ["batch", "facts"])
 
         for rb in batches:
-            for own_part, label, blob in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            for own_part, label, blob in _rows(rb):
                 if own_part != part:
                     if held:
                         yield from facts()
@@ -408,8 +415,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
         if held:
             yield from facts()
 
-    blobs = ranked.select("batch", "text", "rank").mapInArrow(index, "part int, batch long, rows binary")
-    facts = settle(blobs.repartition("part").sortWithinPartitions("part", "batch").mapInArrow(match, "batch long, facts binary"), "facts")
+    blobs = ranked.select("batch", "text", "rank").mapInArrow(lean(index), "part int, batch long, rows binary")
+    facts = settle(blobs.repartition("part").sortWithinPartitions("part", "batch").mapInArrow(lean(match), "batch long, facts binary"), "facts")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by batch, facts first; texts are then worked on in slices."""
@@ -490,7 +497,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
     none = lambda kind: F.lit(None).cast(kind)
     mixed = facts.select("batch", F.lit(0).alias("is_text"), "facts", none("long").alias("row"), none("long").alias("doc_id"), none("binary").alias("text"), none("long").alias("rank"), none("string").alias("extra"))
     mixed = mixed.unionByName(ranked.select("batch", F.lit(1).alias("is_text"), none("binary").alias("facts"), "row", "doc_id", "text", "rank", "extra"))
-    marked = mixed.repartition("batch").sortWithinPartitions("batch", "is_text").mapInArrow(mark, "part int, row long, doc_id long, n_bytes long, sha string, text binary, spans binary, contexts binary, extra string")
+    marked = mixed.repartition("batch").sortWithinPartitions("batch", "is_text").mapInArrow(lean(mark), "part int, row long, doc_id long, n_bytes long, sha string, text binary, spans binary, contexts binary, extra string")
     marked = settle(marked, "marked")
     discard(texts)
     discard(facts)
@@ -545,7 +552,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
             return pa.RecordBatch.from_arrays([pa.array(row[begin], pa.int64()), pa.array(first[begin], pa.int64()), pa.array(first[end] + 1 if len(row) else begin, pa.int64())], ["row", "first", "last"])
 
         for rb in batches:
-            for own_part, blob in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            for own_part, blob in _rows(rb):
                 if own_part != part:
                     if held:
                         yield found()
@@ -554,14 +561,21 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
         if held:
             yield found()
 
-    ends = marked.where("part is not null").select("part", "contexts").repartition("part").sortWithinPartitions("part").mapInArrow(compare, "row long, first long, last long")
+    ends = marked.where("part is not null").select("part", "contexts").repartition("part").sortWithinPartitions("part").mapInArrow(lean(compare), "row long, first long, last long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by row number: marked windows first, then the text."""
         row, found = None, []
         unpack = zstandard.ZstdDecompressor().decompress
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "extra"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
         for rb in batches:
             out: list[tuple] = []
+            size = 0
             for own_row, first, last, doc_id, text, spans, extra in _rows(rb):
                 if own_row != row:
                     row, found = own_row, []
@@ -578,13 +592,16 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(gone) else 0
                 out.append((doc_id, len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep else None, extra))
+                size += len(kept)
+                if size > 1 << 21:
+                    yield rows(out)
+                    out, size = [], 0
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "extra"])
+                yield rows(out)
 
     open_texts = marked.where("text is not null").select("row", none("long").alias("first"), none("long").alias("last"), "doc_id", "text", "spans", "extra")
     both = ends.select("row", "first", "last", none("long").alias("doc_id"), none("binary").alias("text"), none("binary").alias("spans"), none("string").alias("extra")).unionByName(open_texts)
-    changed = both.repartition("row").sortWithinPartitions("row", F.col("text").isNotNull()).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, extra string")
+    changed = both.repartition("row").sortWithinPartitions("row", F.col("text").isNotNull()).mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, extra string")
     def open_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for rb in batches:
@@ -595,7 +612,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, batch_bytes: int = 1 << 23,
 
     rest = marked.where("sha is not null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.col("spans").alias("kept_text"), "extra")
     if keep:
-        rest = rest.mapInArrow(open_up, ", ".join(f"{c} {t}" if c != "kept_text" else "kept_text string" for c, t in rest.dtypes))
+        rest = rest.mapInArrow(lean(open_up), ", ".join(f"{c} {t}" if c != "kept_text" else "kept_text string" for c, t in rest.dtypes))
     if not keep:
         return changed.drop("kept_text", "extra").unionByName(rest.drop("kept_text", "extra"))
     out = changed.unionByName(rest)

@@ -7,7 +7,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-from quillmere.llm.common import prefix_sums, slices, span_hashes, utf8
+from quillmere.llm.common import give_back, kept_by_worker, prefix_sums, slices, span_hashes, utf8
 
 #: What a byte is: 0 a blank that the tokenizer's splits never cross, and of ASCII 1 a letter, 2 a digit, 3 a sign, 4 the apostrophe; 5 any other.
 _KIND = np.full(256, 5, np.uint8)
@@ -238,22 +238,17 @@ class Words:
             yield i, *self._encode_slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-_memory: dict[tuple, Words] = {}
+_memory: dict[tuple, Words] = kept_by_worker.setdefault("words", {})
 
 
 def words_of(path: str, end_id: int | None = None, keep: int = 400_000, keep_bytes: int = 1 << 23) -> Words:
     """The memory of words of this worker process, which its tasks share. What earlier work of the process left unused goes back first."""
-    import ctypes
-    import gc
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = path, end_id, keep, keep_bytes
     if key not in _memory:
         _memory.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        give_back()
         _memory[key] = Words(path, end_id, keep, keep_bytes)
     return _memory[key]

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillmere.llm.common import mix64, span_hashes
+from quillmere.llm.common import BATCH_ROWS, lean, mix64, span_hashes
 from quillmere.llm.labelled import sample, text_key
 
 _WORD = re.compile(r"[^\W_]+")
@@ -205,7 +205,7 @@ def score_texts(docs: DataFrame, model: SubwordModel) -> DataFrame:
         for rb in batches:
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(scorer.column(rb.column(1)), pa.float64())], ["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, "doc_id long, score double")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(work), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.7) -> DataFrame:
@@ -215,9 +215,11 @@ def keep_clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.7) ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for rb in batches:
-            yield rb.filter(pa.array(scorer.column(rb.column(place)) < threshold))
+            for k in range(0, len(rb), BATCH_ROWS):
+                part = rb.slice(k, BATCH_ROWS)
+                yield part.filter(pa.array(scorer.column(part.column(place)) < threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_bytes: int = 64 << 20) -> SubwordModel:
