@@ -124,3 +124,32 @@ def test_a_store_is_read_in_small_batches(tmp_path):
     batches = list(store.Reader(str(tmp_path), {"files": []}).read(file))
     assert max(b.num_rows for b in batches) <= 1024
     assert [n for b in batches for n in b.column(0).to_pylist()] == list(range(5000))
+
+
+def test_rankings_leave_one_table_and_no_texts_behind(spark, tmp_path):
+    from pathlib import Path
+
+    from quillmere import schemas, storage
+    from quillmere.operators import retrieval
+    from tests.test_retrieval import doc
+
+    knowledge = spark.createDataFrame([doc(f"k{n}", f"alpha {n}", "alpha beta gamma marker", related_knowledge=[{"id": "k1", "relation": "depends_on", "reason": "r"}] if n == 0 else []) for n in range(40)], schemas.schema("knowledge"))
+    asked = schemas.requests(spark.createDataFrame([("q", "alpha beta gamma", "2025-01-01")], "query_id string, task string, now string"))
+    folder = Path(f"{storage.shared_dir(spark)}/quillmere/{spark.sparkContext.applicationId}".removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    rows = retrieval.retrieve(asked, knowledge)
+    left = {p.name[:-33] for p in folder.iterdir() if p.name not in before}
+    assert "ranked" in left and not left & {"documents", "postings", "lexical", "scoped", "candidates", "labels", "direct", "related", "pool", "featured"}
+    kept = [p for p in folder.iterdir() if p.name.startswith("ranked-") and p.name not in before]
+    assert len(kept) == 1 and not {"q", "d"} & set(spark.read.parquet(str(kept[0])).columns)
+    assert rows.where("rank <= 30 and d.body is not null").count() == 30 and rows.count() == 40
+
+
+def test_rows_that_are_reranked_have_their_texts_even_where_ranks_and_scores_disagree(spark):
+    from quillmere.operators import retrieval
+
+    ranked = spark.createDataFrame([("q", f"k{n:02d}", 40 - n, 0.5) for n in range(40)], "query_id string, id string, rank int, final double")
+    asked = spark.createDataFrame([("q", "alpha")], "query_id string, task string")
+    docs = spark.range(40).select(F.format_string("k%02d", "id").alias("id"), F.lit("alpha").alias("coverage_text"))
+    got = retrieval.with_texts(retrieval.first_rows(ranked), asked, docs).collect()
+    assert sorted(r.id for r in got) == [f"k{n:02d}" for n in range(30)] and {r.d.coverage_text for r in got} == {"alpha"}
