@@ -153,3 +153,31 @@ def test_rows_that_are_reranked_have_their_texts_even_where_ranks_and_scores_dis
     docs = spark.range(40).select(F.format_string("k%02d", "id").alias("id"), F.lit("alpha").alias("coverage_text"))
     got = retrieval.with_texts(retrieval.first_rows(ranked), asked, docs).collect()
     assert sorted(r.id for r in got) == [f"k{n:02d}" for n in range(30)] and {r.d.coverage_text for r in got} == {"alpha"}
+
+
+def test_items_of_a_catalogue_are_counted_many_at_once():
+    import numpy as np
+
+    from quillmere.operators import embeddings
+
+    rng, most = np.random.default_rng(5), 5
+    classes = [sorted({f"w{n}" for n in rng.zipf(1.3, size) if n < 400}) + ["w1"] * (size % 2) for size in rng.integers(1, 50, 300)]
+    best, found, want = embeddings._Best(most), {}, {}
+    for n, terms in enumerate(classes):
+        best.add(str(n), terms)
+    for block in range(3):
+        held = [[f"w{n}" for n in rng.zipf(1.2, 20) if n < 400] for _ in range(700)]  # a word twice counts twice
+        layers = {}
+        for item, words in enumerate(held):
+            for word in set(words):
+                for time in range(words.count(word)):
+                    layers.setdefault((word, time), []).append(item)
+        words = sorted(layers)
+        lists = [layers[w] for w in words]
+        for c, item, hits in zip(*(x.tolist() for x in best.block(700, [w for w, _ in words], np.cumsum([0, *map(len, lists)]), np.concatenate(lists).astype(np.int32))), strict=True):
+            found.setdefault(c, []).append((-hits, block, item))
+        for c, terms in enumerate(classes):
+            sums = [(-sum(words.count(t) for t in terms), block, item) for item, words in enumerate(held)]
+            want.setdefault(c, []).extend(x for x in sums if x[0])
+    assert {c: sorted(v)[:most] for c, v in found.items()} == {c: sorted(v)[:most] for c, v in want.items() if v}
+    assert sum(map(len, found.values())) <= 3 * most * len(classes)
