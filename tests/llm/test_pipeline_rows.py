@@ -32,3 +32,22 @@ def test_stage_takes_awkward_rows(spark, name, stage):
             ends.setdefault((r.doc_id, r.doc_tokens), []).append(r.length)
         assert sum(map(sum, ends.values())) == sum(r.length for r in rows) and {k for k, _ in ends} == {r[0] for r in ROWS}
     assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_op5_has_its_documents_in_training_order_over_several_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from quillmere.llm import mixing, queries
+    from tests.conftest import SF
+
+    got = [r.position_1 for r in queries.op5_mixing(spark, SF).collect()]
+    assert got == [*sorted(x for x in got if x is not None), *[None] * got.count(None)] and len(got) == 200
+    docs = spark.range(0, 4000, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("word "), (F.col("id") % 7).cast("int")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = mixing.in_order(mixing.mix(docs)).select("doc_id", F.get("positions", F.lit(0)).alias("at"), F.spark_partition_id().alias("range")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.doc_id for r in rows] == [r.doc_id for r in sorted(rows, key=lambda r: (r.at is None, r.at or 0, r.doc_id))] and len(rows) == 4000
+    unread = [r.range for r in rows if r.at is None]
+    assert len({r.range for r in rows}) == 4 and len(unread) > 500 and (len(unread) < 1500 or len(set(unread)) > 1)
